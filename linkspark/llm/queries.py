@@ -33,3 +33,27 @@ def p2_ledger(spark: SparkSession, d: str) -> DataFrame:
 
     rows = ledger.keyed(table(spark, d, "releases"), "release_id", ["release_title", "release_artist"], "ingested_at")
     return ledger.ledger_of(rows).table().select(F.col("first.id").alias("release_id"), F.col("first.title").alias("release_title"), F.col("first.artist").alias("release_artist"), "copies")
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_restored(spark, d).select("field_name", "record_id")
+
+
+@query
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import encoding
+
+    return encoding.find_garbled([(table(spark, d, "tracks"), "track_id", ["track_title", "track_artist"]), (table(spark, d, "releases"), "release_id", ["release_title"])])
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_forms(spark, d).select("field_name", "record_id")
+
+
+@query
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import lookalikes
+
+    return lookalikes.find_lookalikes([(table(spark, d, "tracks"), "track_id", ["track_title"]), (table(spark, d, "releases"), "release_id", ["release_artist", "release_title"])])
