@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once a session, whatever folder or path they were started with."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="linkspark-ship-"), "linkspark.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, str(p.relative_to(home.parent)))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
