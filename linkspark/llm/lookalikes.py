@@ -136,7 +136,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        context = [dict(zip(w or [], r or [])) if w is not None else {} for w, r in zip(b["words"], b["meant"])]
+        context = [{} if w is None else dict(zip(w, r)) for w, r in zip(b["words"], b["meant"])]
         b["form"] = [consistent(v, c) for v, c in zip(b["value"], context)]
         yield b[["value", "form"]]
 
