@@ -57,3 +57,22 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     from linkspark.llm import lookalikes
 
     return lookalikes.find_lookalikes([(table(spark, d, "tracks"), "track_id", ["track_title"]), (table(spark, d, "releases"), "release_id", ["release_artist", "release_title"])])
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import names
+
+    return names.variant_pairs(_resolved_names(spark, d))
+
+
+def _resolved_names(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import names
+
+    return names.resolve(names.name_values([(table(spark, d, "tracks"), ["track_artist", "composer"]), (table(spark, d, "releases"), ["record_label"])]))
+
+
+@query
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    spelled = F.struct(F.length("name").alias("len"), "name")
+    return _resolved_names(spark, d).groupBy("field_name", "cluster").agg(F.max(spelled)["name"].alias("longest"), F.count("*").alias("spellings")).drop("cluster")
