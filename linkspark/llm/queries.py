@@ -76,3 +76,57 @@ def _resolved_names(spark: SparkSession, d: str) -> DataFrame:
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     spelled = F.struct(F.length("name").alias("len"), "name")
     return _resolved_names(spark, d).groupBy("field_name", "cluster").agg(F.max(spelled)["name"].alias("longest"), F.count("*").alias("spellings")).drop("cluster")
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+@query
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import leakage
+
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import leakage
+
+    return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).where("segment = -1 and not label_fits").select("doc_id", "lang")
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import languages
+
+    return languages.identify(table(spark, d, "documents"))
+
+
+@query
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).where("segment >= 0").select("doc_id", "segment", "lang", "confidence")
+
+
+@query
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).where("segment = -1").select("doc_id", "lang", "confidence", "share", "label", "label_fits")
+
+
+@query
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import packing
+
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+@query
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import packing
+
+    return packing.fill_report(p7_packing(spark, d), table(spark, d, "pack_specs"))
