@@ -130,3 +130,15 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     from linkspark.llm import packing
 
     return packing.fill_report(p7_packing(spark, d), table(spark, d, "pack_specs"))
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("release_id", "catalogue_id")
+
+
+@query
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    from linkspark.llm import linkage
+
+    return linkage.match_sources(table(spark, d, "releases"), "release_id", table(spark, d, "catalogue_releases"), "catalogue_id")
