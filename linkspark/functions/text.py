@@ -12,7 +12,7 @@ VARIOUS_ARTISTS = ["", "various artists", "various", "va", "v.a.", "[various]",
 #: Strings read as true.
 TRUTHY = ["1", "on", "true", "yes"]
 #: Kinds of entities that an address of the catalogue names.
-ENTITY_KINDS = ["area", "artist", "event", "genre", "instrument", "label", "place", "recording", "release", "release-group", "series", "work", "url"]
+ENTITY_KINDS = ["area", "artist", "event", "genre", "instrument", "label", "place", "recording", "release", "release-group", "series", "work"]
 #: Fixed value: letters that decompose to more than one ASCII letter.
 DIGRAPHS = {"ß": "ss", "æ": "ae", "œ": "oe", "Æ": "AE", "Œ": "OE", "þ": "th", "Þ": "Th", "ĳ": "ij", "Ĳ": "IJ"}
 #: Fixed value: letters with strokes, which do not decompose.
