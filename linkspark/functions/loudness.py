@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Reference level of replay gain in LUFS; absolute gate; relative gate in LU.
 REFERENCE_LUFS, ABSOLUTE_GATE, RELATIVE_GATE = -18.0, -70.0, -10.0
@@ -46,7 +47,7 @@ def album_aggregates(peak: Column, blocks: Column, energy: Column) -> list[Colum
     ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_decimal(value: pd.Series, digits: pd.Series) -> pd.Series:
     """Decimal text of the exact binary value, ties to even, as Spark's own formatting does not give it."""
     return pd.Series([None if pd.isna(v) else f"{v:.{int(d)}f}" for v, d in zip(value, digits)])

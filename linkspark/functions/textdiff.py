@@ -6,8 +6,9 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-EDIT = "array<struct<op:string,old:string,new:string>>"
+EDIT = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "old", "new")]))
 
 
 def shortest_edit(a: str, b: str) -> list[tuple[str, str, str]]:
@@ -109,21 +110,21 @@ def text_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"op": o, "old": x, "new": y} for o, x, y in shortest_edit("<missing>" if p is None else p, "<missing>" if q is None else q)] for p, q in zip(a, b)])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def text_width(a: pd.Series) -> pd.Series:
     return a.map(lambda v: None if v is None else display_width(v)).astype("Int32")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def text_lines(a: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else wrap(v, int(w)) for v, w in zip(a, width)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def text_ellipsis(a: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else ellipsize(v, int(w)) for v, w in zip(a, width)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def text_filled(a: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else fill_right(v, int(w)) for v, w in zip(a, width)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,19 +73,22 @@ def solve(flat: np.ndarray, n: int, m: int) -> dict:
     return {"left_idx": left.tolist(), "right_idx": right.tolist(), "cost": (cost[left, right] / COST_STEPS).tolist(), "unmatched": rest, "unmatched_side": side}
 
 
-@F.pandas_udf(ASSIGNMENT)
-def _assign(flat: pd.Series, n: pd.Series, m: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([solve(f, int(a), int(b)) for f, a, b in zip(flat, n, m)], columns=["left_idx", "right_idx", "cost", "unmatched", "unmatched_side"])
+def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        b["a"] = [solve(f, int(n), int(m)) for f, n, m in zip(b["_matrix"], b["_n"], b["_m"])]
+        yield b.drop(columns=["_matrix", "_n", "_m"])
 
 
-def assignment(left: Column, right: Column, distance) -> Column:
-    """struct of the optimal assignment of two array columns; ``distance`` maps two items to a Column of 0 to 1.
+def assignment(df: DataFrame, keys: list[str], left: str, right: str, distance) -> DataFrame:
+    """keys, a: the optimal assignment of two array columns; ``distance`` maps two items to a Column of 0 to 1.
 
     The matrix is built by higher-order functions in the JVM, so that a batch of pairs goes to Python as numbers. An
     empty side leaves the other unmatched; with equal sizes nothing is unmatched and the side is "right".
     """
-    matrix = F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: distance(a, b))))
-    return _assign(matrix, F.size(left), F.size(right))
+    matrix = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: distance(x, y))))
+    rows = df.select(*keys, matrix.alias("_matrix"), F.size(left).alias("_n"), F.size(right).alias("_m"))
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInPandas(_solved, f"{kinds}, a {ASSIGNMENT}")
 
 
 def matched_mean(a: Column) -> Column:

@@ -36,6 +36,6 @@ def with_short_circuit(left: DataFrame, right: DataFrame, left_id: str, right_id
     return direct.unionByName(searched(rest).select(left_id, right_id, F.lit("search").alias("found_by")))
 
 
-def pairs_in_blocks(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+def pairs_in_blocks(left: DataFrame, right: DataFrame, block: str | list[str]) -> DataFrame:
     """All pairs of two different sets within a block, as a hash join on the block key."""
     return left.join(right, block)

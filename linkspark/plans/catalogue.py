@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from linkspark.operators import nested
+from linkspark.plans import group_queries, link_queries, source_queries, text_queries  # noqa: F401 - they register
+from linkspark.plans.registry import QUERIES, SQL, query
 from linkspark.runtime import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
-
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
