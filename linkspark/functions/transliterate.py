@@ -27,12 +27,12 @@ def letter(ch: str) -> str:
         if low in table:
             out = table[low]
             return out[:1].upper() + out[1:] if ch != low else out
-    base = unicodedata.normalize("NFKD", ch)
-    if base != ch:
-        return "".join(letter(c) for c in base if not unicodedata.combining(c))
     # names of kana end in their romanisation
     kana = re.fullmatch(r"(?:HIRAGANA|KATAKANA) LETTER (?:SMALL )?(\w+)", unicodedata.name(ch, ""))
-    return kana.group(1).lower() if kana else ""
+    if kana:
+        return kana.group(1).lower()
+    base = unicodedata.normalize("NFKD", ch)
+    return "".join(letter(c) for c in base if not unicodedata.combining(c)) if base != ch else ""
 
 
 def to_ascii(text: str) -> str:

@@ -69,7 +69,7 @@ def q_media_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql="""
 WITH t AS (SELECT DISTINCT release_id, media_idx, track_idx, track_title FROM tracks)
-SELECT release_id, media_idx AS part_idx, track_idx AS item_idx, row_number() OVER (PARTITION BY release_id ORDER BY media_idx, track_idx) - 1 AS position, track_title AS item
+SELECT release_id, CAST(media_idx AS INTEGER) AS part_idx, CAST(track_idx AS INTEGER) AS item_idx, CAST(row_number() OVER (PARTITION BY release_id ORDER BY media_idx, track_idx) - 1 AS INTEGER) AS position, track_title AS item
 FROM (SELECT release_id, media_idx, row_number() OVER (PARTITION BY release_id, media_idx ORDER BY track_idx, track_title NULLS FIRST) - 1 AS track_idx, track_title FROM (SELECT release_id, dense_rank() OVER (PARTITION BY release_id ORDER BY media_idx) - 1 AS media_idx, track_idx, track_title FROM t))""")
 def q_nested_flatten(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tracks").select("release_id", "media_idx", "track_idx", "track_title").distinct()
