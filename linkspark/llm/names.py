@@ -35,6 +35,8 @@ NICKNAMES = dict(p.split(":") for p in "fritz:frederick fred:frederick hank:henr
 #: An initial or abbreviation that fits several profiles joins the one with this many times the rows of the next.
 DOMINANCE = 4.0
 MAX_ROUNDS = 10
+#: Probability by chance below which a given name that always stands beside another one is its nickname.
+CHANCE_SAME_LETTER, CHANCE = 0.02, 1e-6
 
 
 def name_tokens(name: str) -> list[str]:
@@ -111,9 +113,13 @@ def _learned_nicknames(forms: DataFrame) -> DataFrame:
     """``field_name, short, full``: given names that, where they occur, occur beside another one with the same core."""
     one = forms.where("size(rest) = 1 and length(rest[0]) >= 2").select("field_name", "core", F.col("rest")[0].alias("g")).distinct()
     df = one.groupBy("field_name", "g").agg(F.count("*").alias("df"))
+    cores = one.groupBy("field_name").agg(F.count_distinct("core").alias("cores"))
     both = one.join(one.withColumnRenamed("g", "full"), ["field_name", "core"]).where("g <> full").groupBy("field_name", "g", "full").agg(F.count("*").alias("co"))
-    rated = both.join(df, ["field_name", "g"]).join(df.select("field_name", F.col("g").alias("full"), F.col("df").alias("f_df")), ["field_name", "full"])
-    fits = rated.where("f_df > df and ((co >= 2 and co >= 0.8 * df and substr(g, 1, 1) = substr(full, 1, 1)) or (co >= 4 and co >= 0.9 * df))")
+    rated = both.join(df, ["field_name", "g"]).join(df.select("field_name", F.col("g").alias("full"), F.col("df").alias("f_df")), ["field_name", "full"]).join(cores, "field_name")
+    # how probable it is that a name as frequent as the full one stands beside the short one so often by chance
+    chance = F.pow(F.col("f_df") / F.col("cores"), F.col("co"))
+    same_letter = F.substring("g", 1, 1) == F.substring("full", 1, 1)
+    fits = rated.where("f_df > df and co >= 2 and co >= 0.8 * df").where(chance <= F.when(same_letter, CHANCE_SAME_LETTER).otherwise(CHANCE))
     return fits.groupBy("field_name", "g").agg(F.max(F.struct(F.col("co"), F.col("f_df"), F.col("full"))).alias("m")).select("field_name", F.col("g").alias("short"), F.col("m.full").alias("full"))
 
 
