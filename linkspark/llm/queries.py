@@ -18,6 +18,27 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def _canonical_sql(c: str) -> str:
+    """DuckDB's version of ``ledger.canonical_field``."""
+    from linkspark.llm.ledger import ARTICLES
+
+    out = f"upper(replace(regexp_replace(nfc_normalize({c}), '\\p{{Cf}}', '', 'g'), 'ß', 'SS'))"
+    out = f"regexp_replace({out}, '^[^\\p{{L}}\\p{{N}}\\p{{M}}]+|[^\\p{{L}}\\p{{N}}\\p{{M}}]+$', '', 'g')"
+    out = f"regexp_replace({out}, '\\s+[-–—]\\s+', ',', 'g')"
+    out = f"regexp_replace({out}, '(?s)^(.*[^,]),[^\\p{{L}}\\p{{N}}]*({'|'.join(ARTICLES)})$', '\\2 \\1')"
+    out = f"regexp_replace({out}, '(?s)^([^,]+),([^,]+)$', '\\2 \\1')"
+    return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', '', 'g')"
+
+
+_KEYS_SQL = f"""
+k AS (SELECT release_id, release_title, release_artist, ingested_at, {_canonical_sql('release_title')} AS t, {_canonical_sql('release_artist')} AS a FROM releases WHERE release_title <> '' AND release_artist <> ''),
+g AS (SELECT *, least(t, a) || chr(31) || greatest(t, a) AS key FROM k WHERE t <> '' AND a <> '')"""
+
+SQL["p2_found"] = f"WITH {_KEYS_SQL} SELECT x.release_id AS release_id_a, y.release_id AS release_id_b FROM g x JOIN g y ON x.key = y.key AND x.release_id < y.release_id"
+SQL["p2_ledger"] = f"""WITH {_KEYS_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY key) AS copies, row_number() OVER (PARTITION BY key ORDER BY ingested_at NULLS FIRST, release_id) AS i FROM g)
+SELECT release_id, nfc_normalize(release_title) AS release_title, nfc_normalize(release_artist) AS release_artist, copies FROM n WHERE i = 1"""
+
+
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from linkspark.llm import ledger
