@@ -11,13 +11,13 @@ from linkspark.functions import text as X
 from linkspark.operators import assign, blocking, rank
 from linkspark.plans.registry import query
 from linkspark.plans.text_queries import sql_ascii, sql_distance, sql_normalize
-from linkspark.runtime import table
+from linkspark.runtime import spread, table
 
 
 def parts_scored(spark: SparkSession, d: str) -> DataFrame:
     """left, right, distance of parts of one brand and type: names and clamped sizes."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", X.normalize(F.col("p_name")).alias("n"), "p_size")
-    a = p.select("p_brand", "p_type", F.col("p_partkey").alias("left_key"), F.col("n").alias("ln"), F.col("p_size").alias("ls"))
+    a = spread(p.select("p_brand", "p_type", F.col("p_partkey").alias("left_key"), F.col("n").alias("ln"), F.col("p_size").alias("ls")))
     b = p.select("p_brand", "p_type", F.col("p_partkey").alias("right_key"), F.col("n").alias("rn"), F.col("p_size").alias("rs"))
     j = blocking.pairs_in_blocks(a, b, ["p_brand", "p_type"])
     size = M.length_distance(F.col("ls") * 1000, F.col("rs") * 1000)
