@@ -49,13 +49,14 @@ def keyed(df: DataFrame, id_col: str, fields: list[str], time_col: str) -> DataF
     """``id, seen, title, artist, key`` of the records that count.
 
     Records with a null, empty or purely punctuational field have no key and are left out. Letters written with
-    combining marks count as their composed forms; only those few records pass through Python.
+    combining marks count as their composed forms; only those few records pass through Python. The keys are computed
+    once, into a table of the shared folder.
     """
     a, b = fields
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(a).cast("string").alias("title"), F.col(b).cast("string").alias("artist"), F.col(time_col).cast("timestamp_ntz").alias("seen")).where("id is not null and title <> '' and artist <> ''")
     marked = F.col("title").rlike(r"\p{M}") | F.col("artist").rlike(r"\p{M}")
     composed = rows.where(marked).mapInPandas(_composed, rows.schema)
-    return rows.where(~marked).unionByName(composed).withColumn("key", canonical_key(F.col("title"), F.col("artist"))).where("key is not null")
+    return written(rows.where(~marked).unionByName(composed).withColumn("key", canonical_key(F.col("title"), F.col("artist"))).where("key is not null"), "keyed")
 
 
 class Ledger:
