@@ -35,6 +35,10 @@ NICKNAMES = dict(p.split(":") for p in "fritz:frederick fred:frederick hank:henr
 #: An initial or abbreviation that fits several profiles joins the one with this many times the rows of the next.
 DOMINANCE = 4.0
 MAX_ROUNDS = 10
+#: Words of a name beyond which its words are not paired with each other.
+MAX_WORDS = 40
+#: Letters of a word beyond which it is not searched for typos.
+MAX_LETTERS = 64
 #: Probability by chance below which a given name that always stands beside another one is its nickname.
 CHANCE_SAME_LETTER, CHANCE = 0.02, 1e-6
 
@@ -98,7 +102,7 @@ def corrected_tokens(tokens: DataFrame) -> DataFrame:
     Candidates meet on a shared deletion of one letter, so no token is compared with all others. A typo occurs in few
     names, so the spelling it joins must be in four times as many, or both be in one or two.
     """
-    parts = tokens.where("length(token) >= 4").mapInPandas(_deletions, "field_name string, token string, df long, n long, part string")
+    parts = tokens.where(f"length(token) between 4 and {MAX_LETTERS}").mapInPandas(_deletions, "field_name string, token string, df long, n long, part string")
     other = parts.select("field_name", "part", F.col("token").alias("other"), F.col("df").alias("o_df"), F.col("n").alias("o_n"))
     close = parts.join(other, ["field_name", "part"]).where("token <> other and df <= greatest(2, o_df div 4) and (df < o_df or (df = o_df and (n < o_n or (n = o_n and token > other))))")
     close = close.select("field_name", "token", "other", "o_df", "o_n").distinct().mapInPandas(_one_edit_pairs, "field_name string, token string, other string, o_df long, o_n long")
@@ -144,7 +148,9 @@ def resolve(names: DataFrame) -> DataFrame:
 
     # The core of a name is the token whose partners go with many others: given names and kinds of groups have many
     # families as partners, a family few of either, and an abbreviation or nickname only its one family.
-    long = fixed.where("length(token) >= 2").select("field_name", "name", "n", "token")
+    # A text of very many words is no name; it is its own core and pairs its words with nothing.
+    few = fixed.groupBy("field_name", "name").agg(F.count("*").alias("words")).where(f"words <= {MAX_WORDS}").select("field_name", "name")
+    long = fixed.join(few, ["field_name", "name"], "left_semi").where("length(token) >= 2").select("field_name", "name", "n", "token")
     beside = written(long.join(long.select("field_name", "name", F.col("token").alias("with")), ["field_name", "name"]).where("token <> with").groupBy("field_name", "token", "with").agg(F.sum("n").alias("n")), "beside")
     spread = beside.groupBy("field_name", "token").agg(F.count("*").alias("spread"))
     hub = beside.join(spread.withColumnRenamed("token", "with"), ["field_name", "with"]).groupBy("field_name", "token").agg((F.sum(F.col("n") * F.col("spread")) / F.sum("n")).alias("hub"))
