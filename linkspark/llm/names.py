@@ -25,12 +25,16 @@ from linkspark.runtime import written
 ADDRESS = set("dr prof sir dame mr mrs ms maestro dj mc don проф др маэстро".split())
 LEGAL = set("ltd limited gmbh inc intl international llc kg ag srl plc oy ab".split())
 ARTICLES = {"the"}
+#: Words that join the parts of a name.
+CONJUNCTIONS = set("and und et".split())
+#: Short forms of kinds of groups that are no beginnings of the word.
+GROUP_SHORT = {"gebr": "bruder", "gebruder": "bruder", "bros": "brothers"}
 #: Words for kinds of groups; a lone initial never stands for one.
 GROUP_WORDS = set("trio quartet quintet ensemble orchestra orquestra orchester kammerchor chor choir brothers bruder lanterns band blasorkester spolecnost electriques luar sao los les die company records music tapes discos editions works sound entertainment recordings schallplatten phonographic".split())
 #: Letters that decomposition leaves whole.
 WHOLE_LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ı": "i"})
 #: Familiar forms and the given names they stand for, beside those that are learned.
-NICKNAMES = dict(p.split(":") for p in "fritz:frederick fred:frederick hank:henry harry:henry gabe:gabriel penny:penelope zack:zachary zach:zachary uschi:ursula ulla:ursula yoli:yolanda theo:theodore tom:thomas tomik:tomas bob:robert rob:robert kate:katherine kathy:katherine peggy:margaret maggie:margaret meg:margaret nate:nathaniel nat:nathaniel jon:jonathan chris:christopher kit:christopher alex:alexander sasha:alexander leo:leonardo vicky:victoria vic:victoria dot:dorothy dottie:dorothy dolly:dorothy gene:eugene ollie:oliver edie:edith lucy:lucia gunni:gunther jogi:jurgen dede:andre clo:chloe wiesia:wieslawa valla:valdis bjosse:bjorn bill:william will:william liz:elizabeth beth:elizabeth".split())
+NICKNAMES = dict(p.split(":") for p in "fritz:frederick fred:frederick hank:henry harry:henry gabe:gabriel penny:penelope zack:zachary zach:zachary uschi:ursula ulla:ursula yoli:yolanda theo:theodore tom:thomas tomik:tomas bob:robert rob:robert kathy:katherine peggy:margaret maggie:margaret meg:margaret nate:nathaniel nat:nathaniel jon:jonathan chris:christopher kit:christopher alex:alexander sasha:alexander leo:leonardo vicky:victoria vic:victoria dot:dorothy dottie:dorothy dolly:dorothy gene:eugene ollie:oliver edie:edith lucy:lucia gunni:gunther jogi:jurgen dede:andre clo:chloe wiesia:wieslawa valla:valdis bjosse:bjorn bill:william will:william liz:elizabeth beth:elizabeth bella:isabella lene:helene didi:edith kata:katerina osqui:oscar inni:inigo".split())
 
 #: An initial or abbreviation that fits several profiles joins the one with this many times the rows of the next.
 DOMINANCE = 4.0
@@ -40,7 +44,7 @@ MAX_WORDS = 40
 #: Letters of a word beyond which it is not searched for typos.
 MAX_LETTERS = 64
 #: Probability by chance below which a given name that always stands beside another one is its nickname.
-CHANCE_SAME_LETTER, CHANCE = 0.02, 1e-6
+CHANCE_SAME_LETTER, CHANCE = 0.02, 1e-4
 
 
 def name_tokens(name: str) -> list[str]:
@@ -48,7 +52,9 @@ def name_tokens(name: str) -> list[str]:
     text = unicodedata.normalize("NFKD", consistent(name).casefold()).translate(WHOLE_LETTERS)
     text = "".join(c for c in text if not unicodedata.combining(c)).replace("'", "").replace("’", "")
     every = re.findall(r"[^\W_]+", text)
-    tokens = [t for t in every if t not in ADDRESS and t not in LEGAL and t not in ARTICLES] or every
+    cut = set(re.findall(r"([^\W_]+)\.", text)) & (ARTICLES | CONJUNCTIONS)  # "The." is short for a given name
+    tokens = [t for t in every if t not in ADDRESS and t not in LEGAL and (t not in ARTICLES | CONJUNCTIONS or t in cut)] or every
+    tokens = [GROUP_SHORT.get(t, t) for t in tokens]
     if sum(len(t) > 1 for t in tokens) > 1:
         tokens = [t for t in tokens if len(t) > 1]
     return sorted(tokens)
@@ -100,11 +106,12 @@ def corrected_tokens(tokens: DataFrame) -> DataFrame:
     """``field_name, token, right``: tokens one edit from a token of more names; ``tokens`` has ``df`` and ``n`` of each.
 
     Candidates meet on a shared deletion of one letter, so no token is compared with all others. A typo occurs in few
-    names, so the spelling it joins must be in four times as many, or both be in one or two.
+    names, so the spelling it joins must be in four times as many, or both be in one or two; short words, which may be
+    nicknames, join only one in eight times as many.
     """
     parts = tokens.where(f"length(token) between 4 and {MAX_LETTERS}").mapInPandas(_deletions, "field_name string, token string, df long, n long, part string")
     other = parts.select("field_name", "part", F.col("token").alias("other"), F.col("df").alias("o_df"), F.col("n").alias("o_n"))
-    close = parts.join(other, ["field_name", "part"]).where("token <> other and df <= greatest(2, o_df div 4) and (df < o_df or (df = o_df and (n < o_n or (n = o_n and token > other))))")
+    close = parts.join(other, ["field_name", "part"]).where("token <> other and df <= if(length(token) < 6, o_df div 8, greatest(2, o_df div 4)) and (df < o_df or (df = o_df and (n < o_n or (n = o_n and token > other))))")
     close = close.select("field_name", "token", "other", "o_df", "o_n").distinct().mapInPandas(_one_edit_pairs, "field_name string, token string, other string, o_df long, o_n long")
     step = written(close.groupBy("field_name", "token").agg(F.max(F.struct("o_df", "o_n", "other")).alias("m")).select("field_name", "token", F.col("m.other").alias("right")), "typos")
     for _ in range(2):  # a typo of a typo; the order by frequency admits no cycle
@@ -155,7 +162,7 @@ def resolve(names: DataFrame) -> DataFrame:
     spread = beside.groupBy("field_name", "token").agg(F.count("*").alias("spread"))
     hub = beside.join(spread.withColumnRenamed("token", "with"), ["field_name", "with"]).groupBy("field_name", "token").agg((F.sum(F.col("n") * F.col("spread")) / F.sum("n")).alias("hub"))
     core = fixed.join(hub, ["field_name", "token"], "left").groupBy("field_name", "name", "n").agg(
-        F.max(F.struct(F.length("token") >= 2, F.round(F.coalesce("hub", F.lit(0.0)), 6), F.length("token"), F.col("token").alias("token"))).alias("m"),
+        F.max(F.struct(F.length("token") >= 4, F.round(F.coalesce("hub", F.lit(0.0)), 6), F.length("token"), F.col("token").alias("token"))).alias("m"),
         F.collect_list("token").alias("all"),
     )
     rest = F.filter("all", lambda t: t != F.col("m.token"))
