@@ -249,6 +249,11 @@ def parse_unsigned(c: Column) -> Column:
     return F.when(n <= 4294967295, n)
 
 
+def exact_unsigned(c: Column) -> Column:
+    """A float as a whole number; null unless it is finite, not negative and whole."""
+    return F.when((c >= 0) & (c < float(1 << 63)) & (c == F.floor(c)), c.cast("bigint"))
+
+
 def entity_url(base: str, kind: str, c: Column) -> Column:
     return F.concat(F.lit(f"{base}/{kind}/"), c)
 

@@ -229,12 +229,10 @@ def q_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql="""
-WITH p AS (SELECT DISTINCT source_path AS path FROM releases) SELECT path, CAST(row_number() OVER (ORDER BY string_split(path, '/')) AS INTEGER) AS place FROM p""")
+WITH p AS (SELECT DISTINCT source_path AS path FROM releases)
+SELECT path, CAST(row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY string_split(path, '/')) AS INTEGER) AS place FROM p""")
 def q_path_order(spark: SparkSession, d: str) -> DataFrame:
-    """Order of paths by components. The rank over all rows is the feature; distributed sorting needs no single window."""
+    """Order of paths by components, within their folder."""
     p = table(spark, d, "releases").select(F.col("source_path").alias("path")).distinct()
-    counted = p.withColumn("parent", F.regexp_replace("path", r"/[^/]*$", "")).withColumn("parts", rank.path_order(F.col("path")))
-    before = p.select(F.regexp_replace("path", r"/[^/]*$", "").alias("parent")).groupBy("parent").agg(F.count("*").alias("n"))
-    offset = before.withColumn("offset", F.sum("n").over(Window.orderBy(F.split("parent", "/")).rowsBetween(Window.unboundedPreceding, -1))).select("parent", F.coalesce("offset", F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("parent").orderBy("parts"))
-    return counted.withColumn("inside", inside).join(offset, "parent").select("path", (F.col("offset") + F.col("inside")).cast("int").alias("place"))
+    w = Window.partitionBy(F.regexp_replace("path", r"/[^/]*$", "")).orderBy(rank.path_order(F.col("path")))
+    return p.select("path", F.row_number().over(w).alias("place"))

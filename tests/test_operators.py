@@ -215,3 +215,28 @@ def test_flat_tables(spark):
     assert t["releases"].select("release_title", "barcode", "is_compilation").first() == ("", None, True)
     assert t["media"].select("media_idx", "disc_number").first() == (0, 2)
     assert [tuple(r) for r in t["tracks"].orderBy("track_idx").select("track_idx", "composer", "track_length").collect()] == [(0, ["A"], [1, 2]), (1, ["B", "C"], None)]
+
+
+def test_catalogue_entity(spark):
+    from linkspark.operators import adapters
+
+    credit = [{"name": "A", "joinphrase": " & ", "artist": {"id": "a1", "name": "A", "sort-name": "A, The"}}, {"name": "B", "joinphrase": None, "artist": {"id": "v", "name": "B", "sort-name": "B"}}]
+    work = {"id": "w1", "title": "Work", "relations": [{"type": "composer", "artist": "C2"}, {"type": "writer", "artist": "W"}]}
+    relations_ = [
+        {"type": "composer", "direction": "backward", "artist": "C1", "attributes": [], "work": None}, {"type": "performance", "direction": "forward", "artist": None, "attributes": [], "work": work},
+        {"type": "instrument", "direction": "backward", "artist": "P", "attributes": ["bass", "solo"], "work": None}, {"type": "mastering", "direction": "backward", "artist": "E", "attributes": [], "work": None},
+    ]
+    track = {"id": "t1", "number": "A1", "title": "Poinciana", "length": 487533, "artist-credit": credit[:1], "recording": {"id": "r1", "title": "Poinciana", "first-release-date": "1958-01", "isrcs": ["I"], "genres": [{"name": "jazz"}], "relations": relations_}}
+    media = [{"position": 1, "title": "", "format": "CD", "track-count": None, "tracks": [track]}, {"position": 2, "title": None, "format": "CD", "track-count": 3, "tracks": []}, {"position": 3, "title": None, "format": "DVD", "track-count": 1, "tracks": []}]
+    entity = {"id": "e1", "title": "T", "date": "1958", "status": "Pseudo-Release", "artist-credit": credit, "label-info": [{"catalog-number": None, "label": None}, {"catalog-number": "X1", "label": {"name": "L"}}], "release-group": {"id": "g", "primary-type": "Unknown", "secondary-types": ["nope", "Live"]}, "media": media}
+    df = spark.createDataFrame([(1, json.dumps(entity)), (2, json.dumps({"id": "e2"}))], "i int, j string").select("i", F.from_json(F.concat(F.lit('{"e":'), "j", F.lit("}")), f"e {adapters.ENTITY}")["e"].alias("e"))
+    fields = adapters.release_of_entity(F.col("e"), various_id="v")
+    got = {r.i: r.asDict() for r in df.select("i", *[c.alias(k) for k, c in fields.items()]).collect()}
+    one, two = got[1], got[2]
+    assert (one["release_artist"], one["release_artist_sort_order"], one["catalog_number"], one["record_label"], one["release_status"], one["release_type"]) == ("A & B", "A, The; B", "X1", "L", "pseudo-release", "live")
+    assert (one["release_date"], one["release_year"], one["media_format"], one["total_discs"], one["track_count"], one["is_compilation"], one["musicbrainz_release_artist_id"]) == ("1958-01-01", "1958", "2×CD+DVD", "3", 5, True, "a1")
+    assert two["release_artist"] == "" and two["release_type"] is None and two["track_count"] == 0 and two["total_discs"] is None and two["is_compilation"] is False
+    t = adapters.tracks_of_entity(df, "i", "e").collect()
+    assert len(t) == 1 and (t[0].track_title, t[0].track_artist, t[0].composer, t[0].engineer, t[0].writer, t[0].work_title, t[0].original_release_year) == ("Poinciana", "A & ", ["C1", "C2"], ["E"], ["W"], "Work", "1958")
+    assert [tuple(p) for p in t[0].performers] == [("bass, solo", "P")]
+    assert [(r.media_idx, r.track_count) for r in adapters.media_of_entity(df, "i", "e").orderBy("media_idx").collect()] == [(0, 1), (1, 3), (2, 1)]
