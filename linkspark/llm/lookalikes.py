@@ -98,6 +98,8 @@ def consistent(text: str, context: dict[str, str] | None = None) -> str:
     A word of several scripts is read in the script that allows all its letters; where two do, in that of most of the
     value's other letters. ``context`` gives the meant form of words that are written wholly in look-alikes.
     """
+    if text.isascii() and not context:
+        return text
     east = any(script(c) == "OTHER" and unicodedata.category(c) == "Lo" for c in text)
     text = unicodedata.normalize("NFC", "".join(_plain_char(c, east) for c in text))
     parts = list(_words(text)) if text else []
