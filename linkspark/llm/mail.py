@@ -20,6 +20,7 @@ ANY_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
 MBOX_LINE = re.compile(r"\A>?From [^\n:]*@[^\n]*\n")
 HEADER_LINE = re.compile(r"([\w-]+)[ \t]*:[ \t]*(.*)", re.S)
 WORD = re.compile(r"[^\W_]+")
+LETTERS = re.compile(r"\b[^\W\d_]{2,}\b")
 BASE64_RUBBISH = re.compile(rb"[^A-Za-z0-9+/]")
 
 
@@ -147,6 +148,8 @@ SENTENCE_END = re.compile(r"[.?!。…][\"'»”)]*\s*$|[.?!]\s")
 
 #: A paragraph of fewer words is a greeting, a closing or a heading.
 MIN_WORDS = 6
+#: Words from which a paragraph needs no end of a sentence, as where a passage is cut off.
+LONG_WORDS = 12
 
 
 def written_paragraphs(text: str) -> list[str]:
@@ -209,6 +212,8 @@ def _kept(lines: list[str]) -> str:
         return ""
     if paragraph.rstrip().endswith(":"):
         return ""
-    if len(WORD.findall(paragraph)) < MIN_WORDS or not SENTENCE_END.search(paragraph):
+    if len(WORD.findall(paragraph)) < MIN_WORDS:
+        return ""
+    if not SENTENCE_END.search(paragraph) and len(LETTERS.findall(paragraph)) < LONG_WORDS:
         return ""
     return paragraph
