@@ -31,6 +31,8 @@ STRONG_LENGTH = 3
 MIN_RATIO = 2.0
 #: Gain in mean log-probability of a character pair for restoring to a word that does not occur.
 MIN_GAIN = 1.5
+#: Plain characters between words.
+SEPARATOR = r'[ \t\r\n,.!?;:()"/]'
 #: Size of the hashed table of character pairs; fixed, so that it may be broadcast.
 PAIR_BUCKETS = 1 << 18
 
@@ -151,7 +153,7 @@ def values_of(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
 def _words(values: DataFrame) -> DataFrame:
     """``value, word`` for each non-ASCII word of the distinct values."""
-    return values.select("value", F.explode(F.array_distinct(F.split("value", "[ \t\r\n]+"))).alias("word")).where(r"word rlike '[^\\x00-\\x7F]'")
+    return values.select("value", F.explode(F.array_distinct(F.split("value", f"{SEPARATOR}+"))).alias("word")).where(r"word rlike '[^\\x00-\\x7F]'")
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
@@ -161,7 +163,12 @@ def garbled_words(words: DataFrame) -> DataFrame:
     in any case. ``strong`` tells words that need no context. Ties between clean words go to the most frequent, then
     the least in code-point order.
     """
+    from linkspark.llm.lookalikes import TO_LATIN
+
     spark = words.sparkSession
+    # a Latin word with nothing foreign but look-alike letters was not decoded wrongly; see ``lookalikes``
+    letters = "".join(f"\\x{{{ord(c):X}}}" for c in TO_LATIN)
+    words = words.where(f"not (word rlike '^[\\\\x00-\\\\x7F{letters}]+$' and word rlike '[A-Za-z]')".replace("\\x{", "\\\\x{"))
     lost = r"[\\x{FFFD}\\x{80}-\\x{9F}]"
     ascii_text = F.regexp_replace("word", r"[^\x00-\x7F]+", "")
     shaped = words.withColumn("stripped", ascii_text)
@@ -189,7 +196,10 @@ def garbled_words(words: DataFrame) -> DataFrame:
     ) if found is not None else spark.createDataFrame([], "word string, clean string, mistake string, strong boolean")
     by_twin = written(by_twin, "garbled")
     rest = words.join(by_twin.select("word"), "word", "left_anti")
-    by_model = rest.mapInPandas(_backward(learned, model), "word string, clean string, mistake string").withColumn("strong", F.length("word") >= STRONG_LENGTH)
+    # a word that is more frequent in other letter case is that word
+    cased = words.groupBy(F.lower("word").alias("low")).agg(F.max("n").alias("top"))
+    odd_cased = rest.withColumn("low", F.lower("word")).join(cased, "low").where(f"top < n * {MIN_RATIO}").select("word", "n")
+    by_model = odd_cased.mapInPandas(_backward(learned, model), "word string, clean string, mistake string").withColumn("strong", F.length("word") >= STRONG_LENGTH)
     unsure = rest.where(f"word rlike '{lost}'").withColumn("stripped", ascii_text)
     by_loss = unsure.join(best, "stripped", "left").select("word", F.col("top.w").alias("clean"), F.lit("lost").alias("mistake"), F.lit(True).alias("strong"))
     both = by_model.unionByName(by_loss).groupBy("word").agg(F.min(F.struct((F.col("mistake") == "lost").alias("last"), "clean", "mistake", "strong")).alias("m")).select("word", "m.clean", "m.mistake", "m.strong")
@@ -206,7 +216,7 @@ def garbled_values(values: DataFrame) -> DataFrame:
     words = written(cells.join(values, "value").groupBy("word").agg(F.sum("n").alias("n")), "words")
     bad = written(garbled_words(words), "badwords")
     hit = cells.join(bad.select("word"), "word", "left_semi").select("value").distinct()
-    parts = values.join(hit, "value", "left_semi").select("value", "n", F.posexplode(F.split("value", "(?<=[ \t\r\n])|(?=[ \t\r\n])")).alias("at", "word"))
+    parts = values.join(hit, "value", "left_semi").select("value", "n", F.posexplode(F.split("value", f"(?<={SEPARATOR})|(?={SEPARATOR})")).alias("at", "word"))
     mapped = parts.join(bad, "word", "left")
     whole = mapped.groupBy("value", "n").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("clean", "word").alias("w")))), lambda x: x["w"]), "").alias("restored"),
