@@ -31,7 +31,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives the loss of executors."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a result of ``written`` that no later step reads."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
