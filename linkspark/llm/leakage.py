@@ -51,21 +51,20 @@ class TestSet:
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.owner, self.offset = hashes[order], owner[order].astype(np.int64), offset[order].astype(np.int64)
 
-    def spans(self, words: list[str]) -> dict[int, tuple[int, int]]:
-        """Longest verified passage of each item in the words, as (first word, number of words) by item id."""
+    def passages(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Every verified passage in the words, as item id, first word and number of words; each as long as it goes."""
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in words], dtype=np.int64)
         n = self.n
-        if len(ids) < n:
-            return {}
+        if len(ids) < n or not len(self.hashes):
+            return
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         full = np.flatnonzero(known[n:] - known[:-n] == n)
         if not len(full):
-            return {}
+            return
         hashes = window_hashes(ids, n)[full]
         left = np.searchsorted(self.hashes, hashes, side="left")
-        hit = np.flatnonzero((left < len(self.hashes)) & (self.hashes[np.minimum(left, max(len(self.hashes) - 1, 0))] == hashes)) if len(self.hashes) else []
-        best: dict[int, tuple[int, int]] = {}
+        hit = np.flatnonzero((left < len(self.hashes)) & (self.hashes[np.minimum(left, len(self.hashes) - 1)] == hashes))
         reached: dict[tuple[int, int], int] = {}  # (item, diagonal) -> word up to which its passage was followed
         for h in hit:
             at = int(full[h])
@@ -81,10 +80,26 @@ class TestSet:
                 run = length if same.all() else int(np.argmin(same))
                 if run >= n:
                     reached[owner, at - offset] = at + run
-                    if run > best.get(item_id, (0, 0))[1]:
-                        best[item_id] = (at, run)
+                    yield item_id, at, run
+
+    def spans(self, words: list[str]) -> dict[int, tuple[int, int]]:
+        """Longest verified passage of each item in the words, as (first word, number of words) by item id."""
+        best: dict[int, tuple[int, int]] = {}
+        for item_id, at, run in self.passages(words):
+            if run > best.get(item_id, (0, 0))[1]:
+                best[item_id] = (at, run)
         return best
 
+    def covered(self, words: list[str]) -> list[tuple[int, int]]:
+        """Words in any passage of any item, as rising (first word, word after the last) without overlaps."""
+        edge = np.zeros(len(words) + 1, dtype=np.int64)
+        for _, at, run in self.passages(words):
+            edge[at] += 1
+            edge[at + run] -= 1
+        inside = np.concatenate([[False], np.cumsum(edge)[:-1] > 0, [False]])
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        return [(int(a), int(z)) for a, z in zip(turns[::2], turns[1::2])]
+
 
 def _scan(test):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,36 +146,68 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     return found
 
 
-def _mask(test):
+def _spots(text: str) -> list[tuple[int, int]]:
+    """Places in ``text`` of the words of ``mail.words``, which are those of the folded text."""
+    folded = text.casefold()
+    spots = [(m.start(), m.end()) for m in mail.WORD.finditer(folded)]
+    if len(folded) == len(text):
+        return spots
+    source = [k for k, c in enumerate(text) for _ in c.casefold()]  # some letters fold to several
+    return [(source[a], source[z - 1] + 1) for a, z in spots]
+
+
+CUTS = "array<struct<part:int,first:long,last:long>>"
+
+
+def _mark(test):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tests = test.value
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                clean, removed = [], 0
-                for part in mail.parts_of(text or ""):
-                    shown = mail.visible(part)
-                    spots = [(m.start(), m.end()) for m in mail.WORD.finditer(shown)]
-                    found = tests.spans([w.casefold() for w in (shown[a:z] for a, z in spots)]).values()
-                    for at, n in sorted(found, reverse=True):
-                        shown = shown[: spots[at][0]] + shown[spots[at + n - 1][1] :]
-                        removed += n
-                    if shown:
-                        clean.append(shown)
-                out.append((doc_id, "\n\n".join(clean), removed))
-            yield pd.DataFrame(out, columns=["doc_id", "clean_text", "words_removed"])
+            for text, before in zip(b["text"], b["cuts"]):
+                cuts = [(c["part"], c["first"], c["last"]) for c in before]
+                for k, part in enumerate(mail.parts_of(text or "")):
+                    cuts += [(k, a, z) for a, z in tests.covered(mail.words(mail.visible(part)))]
+                out.append([{"part": k, "first": a, "last": z} for k, a, z in cuts])
+            yield b.assign(cuts=out)
 
     return run
 
 
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for doc_id, text, cuts in zip(b["doc_id"], b["text"], b["cuts"]):
+            of: dict[int, list[tuple[int, int]]] = {}
+            for c in cuts:
+                of.setdefault(c["part"], []).append((c["first"], c["last"]))
+            clean, removed = [], 0
+            for k, part in enumerate(mail.parts_of(text or "")):
+                shown = mail.visible(part)
+                if k in of:
+                    spots = _spots(shown)
+                    kept, end, after = [], 0, 0  # characters and words up to which the part is done
+                    for a, z in sorted(of[k]):
+                        a = max(a, after)
+                        if a < z:
+                            kept.append(shown[end : max(end, spots[a][0])])
+                            removed += z - a
+                            end, after = spots[z - 1][1], z
+                    shown = "".join(kept) + shown[end:]
+                if shown:
+                    clean.append(shown)
+            out.append((doc_id, "\n\n".join(clean), removed))
+        yield pd.DataFrame(out, columns=["doc_id", "clean_text", "words_removed"])
+
+
 def remove_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = PASSAGE_WORDS) -> DataFrame:
-    """``doc_id, clean_text, words_removed``: the readable text of every document without the longest passage of each item.
+    """``doc_id, clean_text, words_removed``: the readable text of every document without any passage of any item.
 
-    Test sets beyond one broadcast are removed one after the other.
+    Passages are those of the given text: all are marked, in as many passes as there are broadcasts, before the words
+    they cover are cut once. A word in several passages counts once; words outside of passages stay.
     """
     docs = spread(documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    out = None
+    marked = docs.withColumn("cuts", F.array().cast(CUTS))
     for test in _test_sets(items, item_id, item_text, n):
-        step = (docs if out is None else out.select("doc_id", F.col("clean_text").alias("text"), F.col("words_removed").alias("before"))).select("doc_id", "text").mapInPandas(_mask(test), "doc_id long, clean_text string, words_removed long")
-        out = step
-    return out
+        marked = marked.mapInPandas(_mark(test), f"doc_id long, text string, cuts {CUTS}")
+    return marked.mapInPandas(_cut, "doc_id long, clean_text string, words_removed long")

@@ -52,3 +52,33 @@ def test_several_test_sets(spark, monkeypatch):
     assert found(spark, docs, items, n=5) == [(i, i) for i in range(9)]
     clean = {r.doc_id: (r.clean_text.strip(), r.words_removed) for r in leakage.remove_leaks(*frames(spark, [(3, "keep this " + "t3 " * 5 + "and that")], items), n=5).collect()}
     assert clean[3][0].split() == "keep this and that".split()
+
+
+def cleaned(spark, docs, items, **kw):
+    return {r.doc_id: (r.clean_text.split(), r.words_removed) for r in leakage.remove_leaks(*frames(spark, docs, items), **kw).collect()}
+
+
+def test_every_passage_is_removed_and_nothing_else(spark):
+    w = [f"word{k}" for k in range(40)]
+    v = [*w[30:], *(f"other{k}" for k in range(20))]
+    docs = [
+        (1, " ".join(["a", *w, "b\n>", *w, "c"])), (2, " ".join(["a", *w[:16], "b", *w[20:36], "c"])),
+        (3, " ".join(["a", *w, *v[10:], "b c d e f g h"])), (4, "only clean words"), (5, None), (6, " ".join(["İİ ŉ straße", *w[:15], "c"])),
+    ]
+    got = cleaned(spark, docs, [(7, " ".join(w)), (8, " ".join(v))])
+    assert got == {1: (["a", "b", ">", "c"], 80), 2: (["a", "b", "c"], 32), 3: ("a b c d e f g h".split(), 60), 4: (["only", "clean", "words"], 0), 5: ([], 0), 6: (["İİ", "ŉ", "straße", "c"], 15)}
+
+
+def test_removal_is_the_same_in_several_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: rng.choice("ab cd ef gh".split())
+    items = [(i, " ".join(word() for _ in range(8))) for i in range(12)]
+    docs = [(i, " ".join(rng.choice([word(), word(), "zz"]) for _ in range(80))) for i in range(60)]
+    once = cleaned(spark, docs, items, n=4)
+    monkeypatch.setattr(leakage, "BROADCAST_CHARS", 60)
+    assert cleaned(spark, docs, items, n=4) == once
+    grams = {tuple(t.split()[k : k + 4]) for _, t in items for k in range(5)}
+    for i, text in docs:
+        x = text.split()
+        hit = {k + j for k in range(len(x) - 3) if tuple(x[k : k + 4]) in grams for j in range(4)}
+        assert once[i] == ([t for k, t in enumerate(x) if k not in hit], len(hit))
