@@ -148,11 +148,13 @@ def _squashed(col: str) -> F.Column:
 
 
 def canonical_forms(values: DataFrame) -> DataFrame:
-    """``value, form`` for the distinct ``value, n`` whose consistent form has other characters.
+    """``value, form, canonical`` for the distinct ``value, n`` that differ in characters from what their class is meant to be.
 
     Classes are built by GROUP BY on the look-alike-mapped text COLLATE UNICODE_CI (accents count, case, width, style
-    and invisible characters do not). The canonical member is the most frequent one that already is consistent, then
-    the least in code-point order; a class without such a member takes the consistent form of its own.
+    and invisible characters do not); members that the collation alone makes equal, such as kana of both kinds, stay
+    apart by the mapped letters of their forms. Every member votes for its consistent form. The canonical member is the
+    most frequent one of those that are consistent themselves in the reading of the most votes, then the least in
+    code-point order; a class without a consistent member takes the consistent form of each.
     """
     spark = values.sparkSession
     letters = values.select("n", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(r"[\p{L}\p{M}]+"), 0))).alias("word")).groupBy("word").agg(F.sum("n").alias("n"))
@@ -168,22 +170,28 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     formed = written(values.join(mapped, "value", "left").select("value", "n", F.coalesce("form", "value").alias("form")), "forms")
 
     sources, targets = "".join(TO_LATIN), "".join(TO_LATIN.values())
-    formed.withColumn("mapped", F.translate(F.regexp_replace("value", r"[\p{Cf}]", ""), sources, targets)).createOrReplaceTempView("lookalike_forms")
+
+    def plain(c: str) -> F.Column:
+        return F.translate(F.regexp_replace(c, r"[\p{Cf}]", ""), sources, targets)
+
+    formed.select("value", "n", "form", plain("value").alias("mapped"), _squashed(plain("form")).alias("shape"), _squashed("form").alias("reading")).createOrReplaceTempView("lookalike_forms")
     classes = spark.sql("""
-        SELECT mapped COLLATE UNICODE_CI AS class, max_by(value, struct(n, -ascii(value))) FILTER (WHERE value = form) AS canonical, max(n) FILTER (WHERE value = form) AS m
-        FROM lookalike_forms GROUP BY mapped COLLATE UNICODE_CI HAVING count(*) > 1 AND count_if(value <> form) > 0""")
-    members = spark.sql("SELECT value, n, form, mapped COLLATE UNICODE_CI AS class FROM lookalike_forms WHERE value <> form")
-    joined = members.join(classes, "class", "left")
-    chosen = F.when(_squashed("canonical") == _squashed("form"), F.col("canonical")).otherwise(F.col("form"))
-    return joined.select("value", "form", chosen.alias("canonical")).where(_squashed("value") != _squashed("form")).select("value", "form", "canonical")
+        WITH readings AS (
+            SELECT mapped COLLATE UNICODE_CI AS class, shape, reading, sum(n) AS m, min_by(value, struct(-n, value)) FILTER (WHERE value = form) AS member
+            FROM lookalike_forms GROUP BY mapped COLLATE UNICODE_CI, shape, reading)
+        SELECT class, shape, min_by(member, struct(-m, member)) AS canonical FROM readings WHERE member IS NOT NULL GROUP BY class, shape""")
+    members = spark.sql("SELECT value, form, shape, mapped COLLATE UNICODE_CI AS class FROM lookalike_forms")
+    joined = members.join(classes, ["class", "shape"], "left")
+    chosen = F.when(_squashed("canonical") != _squashed("value"), F.col("canonical")).otherwise(F.col("form"))
+    return joined.select("value", "form", chosen.alias("canonical")).where(_squashed("value") != _squashed("canonical"))
 
 
 def find_lookalikes(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
-    """``field_name, record_id, value, form, canonical`` of the values that differ from their consistent form.
+    """``field_name, record_id, value, form, canonical`` of the values that differ from the canonical member of their class.
 
-    ``form`` keeps the value's own case, ``canonical`` is the member chosen for its class. Nulls, empty values and
-    wrongly decoded values (see ``encoding``) never count; stray plain spaces, tabs, line breaks and letter case make
-    no difference. Record ids that occur twice with one content give one row.
+    ``form`` is the value's own consistent form and keeps its case; where the class has no consistent member, ``canonical``
+    is that form. Nulls, empty values and wrongly decoded values (see ``encoding``) never count; stray plain spaces,
+    tabs, line breaks and letter case make no difference. Record ids that occur twice with one content give one row.
     """
     rows = None
     for df, id_col, columns in tables:
@@ -193,4 +201,4 @@ def find_lookalikes(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame
     values = written(rows.groupBy("value").agg(F.count("*").alias("n")), "values")
     garbled = garbled_values(values.where(r"value rlike '[^\\x00-\\x7F]'")).select("value")
     sound = written(values.join(garbled, "value", "left_anti"), "sound")
-    return rows.where(r"value rlike '[^\\x00-\\x7F]'").join(canonical_forms(sound), "value").select("field_name", "record_id", "value", "form", "canonical").distinct()
+    return rows.join(canonical_forms(sound), "value").select("field_name", "record_id", "value", "form", "canonical").distinct()
