@@ -8,6 +8,7 @@ probability is its confidence.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ WEIGHTS = {
 PRIOR = -5.0
 #: Largest change of a message at which the propagation ends, and rounds after which it ends anyway.
 TOLERANCE = 1e-3
-#: Pairs of a block from which it is split.
+#: Pairs of a block from which it is cut into cells of about that many; changes no result.
 HEAVY = 20_000
 MAX_ROUNDS = 30
 THRESHOLD = 0.5
@@ -202,29 +203,26 @@ def _blocks(p: DataFrame) -> DataFrame:
     return p.select("edition", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(x, none) for x in lists])))).alias("block"))
 
 
-def refined_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks of both sides; one with more than ``HEAVY`` pairs is split by the other words of its members.
+def gridded_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of both sides; one with more than ``HEAVY`` pairs is cut into cells of about that many.
 
-    A key that many editions share tells little. Its members then have to share a word of the title and one of the
-    artist, or the date, besides.
+    Both sides of such a block are salted by edition and each part stands in the cells of all parts of the other side,
+    so every pair meets in one cell and no task gets a whole hot block.
     """
     x = written(_blocks(left), "blocks")
     y = x if right is left else written(_blocks(right), "blocks")
-    n = x.groupBy("block").agg(F.count("*").alias("n")).join(y.groupBy("block").agg(F.count("*").alias("m")), "block").where(f"n * m > {HEAVY}").select("block")
-    heavy = written(n, "heavy")
+    side = max(1, math.isqrt(HEAVY))
+    n = x.groupBy("block").agg(F.count("*").alias("n")).join(y.groupBy("block").agg(F.count("*").alias("m")), "block").where(f"n * m > {HEAVY}")
+    heavy = written(n.select("block", F.ceil(F.col("n") / side).alias("rows"), F.ceil(F.col("m") / side).alias("columns")), "heavy")
     if heavy.isEmpty():
         return x, y
 
-    def split(blocks: DataFrame, side: DataFrame) -> DataFrame:
-        none = F.array().cast("array<string>")
-        words = F.flatten(F.transform(F.coalesce("title", none), lambda t: F.transform(F.coalesce("artist", none), lambda a: F.concat_ws("\u001f", t, a))))
-        finer = F.array_union(words, F.when(F.col("date").isNotNull(), F.array(F.concat_ws("\u001f", F.lit("on"), "date"))).otherwise(none))
-        parts = blocks.join(heavy, "block", "left_semi").join(side.select("edition", finer.alias("finer")), "edition")
-        parts = parts.select("edition", "block", F.explode("finer").alias("finer")).select("edition", F.concat_ws("\u001e", "block", "finer").alias("block"))
+    def cells(blocks: DataFrame, own: str, other: str) -> DataFrame:
+        parts = blocks.join(heavy, "block").withColumn(own, F.pmod(F.xxhash64("edition"), F.col(own))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        parts = parts.select("edition", F.concat_ws("\u001e", "block", "rows", "columns").alias("block"))
         return blocks.join(heavy, "block", "left_anti").select("edition", "block").unionByName(parts)
 
-    a = split(x, left)
-    return a, a if right is left else split(y, right)
+    return cells(x, "rows", "columns"), cells(y, "columns", "rows")
 
 
 def _agree(a, b) -> int:
@@ -300,7 +298,7 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def candidate_pairs(left: DataFrame, right: DataFrame, below: bool = False) -> DataFrame:
     """``l, r, odds`` of the editions that share a block and are not impossible; ``below`` asks for l < r."""
-    x, y = refined_blocks(left, right)
+    x, y = gridded_blocks(left, right)
     met = x.withColumnRenamed("edition", "l").join(y.withColumnRenamed("edition", "r"), "block").where("l < r" if below else "true").select("l", "r").distinct()
     a = left.select(F.col("edition").alias("l"), *[F.col(f).alias(f"l_{f}") for f in FIELDS])
     b = right.select(F.col("edition").alias("r"), *[F.col(f).alias(f"r_{f}") for f in FIELDS])

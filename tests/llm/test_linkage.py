@@ -89,3 +89,13 @@ def test_hot_blocks_are_split_without_losing_pairs(spark, monkeypatch):
     plain = set(pairs(spark, left, right))
     monkeypatch.setattr(linkage, "HEAVY", 3)
     assert set(pairs(spark, left, right)) == plain == {(i, 100 + i) for i in range(6)}
+
+
+def test_hot_blocks_keep_misspelt_undated_and_swapped_pairs(spark, monkeypatch):
+    code = "2900000000017"
+    left = [(1, "Rivers", "Zarteizit", code, None, None, "2001"), (2, "Brumvaro", "Glassware", code, None, None, None), (3, "Mountains", "Vuljakit", code, None, None, "1980"), (4, "Quillhaven", "Jandotrin", code, None, None, "1971")]
+    right = [(101, "Rivrs", "Zarteizit", code, None, None, "20010101"), (102, "Glassware", "Brumvaroo", code, None, None, None), (103, "Mountans", "Vuljakit", code, None, None, None)]
+    want = {(1, 101), (2, 102), (3, 103)}
+    for heavy in (20_000, 3, 1):
+        monkeypatch.setattr(linkage, "HEAVY", heavy)
+        assert set(pairs(spark, left, right)) == want
