@@ -179,7 +179,17 @@ def _cost_sql(i: str, k: str) -> str:
 WITH {LISTS_SQL}, three AS (SELECT * FROM j WHERE len(x) = 3 AND len(y) = 3), perm AS (SELECT * FROM (VALUES (1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)) v(p, q, r))
 SELECT release_id, media_idx, CAST(min({_cost_sql('1', 'p')} + {_cost_sql('2', 'q')} + {_cost_sql('3', 'r')}) AS BIGINT) AS total_cost FROM three, perm GROUP BY 1, 2""")
 def q_assignment_total(spark: SparkSession, d: str) -> DataFrame:
-    a = _assigned(spark, d, "size(titles) = 3 and size(others) = 3")
+    """Lists of three only, as far as the SQL with its six permutations goes; ``q_assignment_total_all`` takes all."""
+    return _total_cost(_assigned(spark, d, "size(titles) = 3 and size(others) = 3"))
+
+
+@query
+def q_assignment_total_all(spark: SparkSession, d: str) -> DataFrame:
+    """Total cost of the assignment of all neighbouring media, whatever their sizes."""
+    return _total_cost(_assigned(spark, d, "true"))
+
+
+def _total_cost(a: DataFrame) -> DataFrame:
     total = F.aggregate(F.col("a.cost"), F.lit(0).cast("bigint"), lambda s, x: s + F.round(x * M.COST_STEPS).cast("bigint"))
     return a.select("release_id", "media_idx", total.alias("total_cost"))
 

@@ -240,3 +240,21 @@ def test_catalogue_entity(spark):
     assert len(t) == 1 and (t[0].track_title, t[0].track_artist, t[0].composer, t[0].engineer, t[0].writer, t[0].work_title, t[0].original_release_year) == ("Poinciana", "A & ", ["C1", "C2"], ["E"], ["W"], "Work", "1958")
     assert [tuple(p) for p in t[0].performers] == [("bass, solo", "P")]
     assert [(r.media_idx, r.track_count) for r in adapters.media_of_entity(df, "i", "e").orderBy("media_idx").collect()] == [(0, 1), (1, 3), (2, 1)]
+
+
+def test_total_cost_of_lists_of_any_size(spark, tmp_path):
+    from linkspark.plans import catalogue
+
+    lists = {(1, 0): ["alpha", "beta", "gamma"], (1, 1): ["gamme", "alpha", "bta"], (2, 0): ["river"], (2, 1): ["ash", "rivers", "moss", "rivet"], (3, 0): ["ash", "stone", "moss", "glass"], (3, 1): ["stne", "mos"]}
+    rows = [(f"{r}-{m}-{k}", r, m, k, t, None, None, None, None) for (r, m), titles in lists.items() for k, t in enumerate(titles)]
+    spark.createDataFrame(rows, "track_id string, release_id long, media_idx int, track_idx int, track_title string, track_artist string, track_number string, track_length array<long>, musicbrainz_recording_id string").write.parquet(f"{tmp_path}/tracks.parquet")
+    words = [(t, u) for r in (1, 2, 3) for t in lists[r, 0] for u in lists[r, 1]]
+    pairs = spark.createDataFrame(words, "t string, u string")
+    cost = {(p.t, p.u): int(p.d * 100000) for p in pairs.select("t", "u", X.normalized_distance(F.col("t"), F.col("u")).alias("d")).collect()}
+    want = {}
+    for r in (1, 2, 3):
+        x, y = lists[r, 0], lists[r, 1]
+        pick = [zip(x, p) for p in itertools.permutations(y, len(x))] if len(x) <= len(y) else [zip(p, y) for p in itertools.permutations(x, len(y))]
+        want[r, 0] = min(sum(cost[p] for p in chosen) for chosen in pick)
+    got = {(g.release_id, g.media_idx): g.total_cost for g in catalogue.QUERIES["q_assignment_total_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len(catalogue.QUERIES["q_assignment_total"](spark, str(tmp_path)).collect()) == 1
