@@ -28,8 +28,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHARD_DOCS = 1500
 #: Slots of hashed words; fixed, so that the document frequencies may be broadcast.
 SLOTS = 1 << 18
-#: Words of a seed that query the index: those of the greatest weight.
-QUERY_WORDS = 32
 #: Unused share of a window with which an item may end it.
 SLACK = 0.02
 K1, B = 1.2, 0.75
@@ -92,12 +90,7 @@ class ShardIndex:
         self.words, self.first = np.unique(slot[order], return_index=True)
         self.last = np.append(self.first[1:], len(slot))
         self.owner, self.weight = owner[order].astype(np.int32), weight[order]
-        self.queries = []
-        for s, c in zip(slots, counts):
-            s = s.astype(np.int64)
-            if len(s) > QUERY_WORDS:
-                s = s[np.argsort(-idf[s] * c / (c + K1), kind="stable")[:QUERY_WORDS]]
-            self.queries.append(np.searchsorted(self.words, s))
+        self.queries = [np.searchsorted(self.words, s) for s in slots]
 
     def scores(self, item: int, n: int) -> np.ndarray:
         q = self.queries[item]

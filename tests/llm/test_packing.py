@@ -74,3 +74,10 @@ def test_index_agrees_with_plain_bm25():
                 if s in slots[item]:
                     plain[d] += idf[s] * c * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.B + packing.B * counts[d].sum() / 20.0))
         assert np.allclose(index.scores(item, 30), plain, rtol=1e-5)
+
+
+def test_all_words_of_a_long_seed_count():
+    slots = [np.arange(200, dtype=np.int32), *(np.array([k], dtype=np.int32) for k in range(200))]
+    counts = [np.ones(len(s), dtype=np.int32) for s in slots]
+    index = packing.ShardIndex(slots, counts, np.linspace(1, 2, packing.SLOTS).astype(np.float32), 2.0)
+    assert (index.scores(0, 201) > 0).all()
