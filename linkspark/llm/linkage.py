@@ -127,7 +127,7 @@ def linked(members: DataFrame, keys: DataFrame) -> DataFrame:
     changes; no group is gathered in one place.
     """
     label = members
-    for _ in range(20):
+    while True:  # ends: numbers only fall, and none below the least of the group
         low = keys.join(label, "id").groupBy("key").agg(F.min("edition").alias("low"))
         lower = keys.join(low, "key").groupBy("id").agg(F.min("low").alias("low"))
         seen, old = Observation(), label
@@ -135,8 +135,7 @@ def linked(members: DataFrame, keys: DataFrame) -> DataFrame:
         if old is not members:
             forget(old)
         if not seen.get["moved"]:
-            break
-    return label
+            return label
 
 
 def editions(rows: DataFrame) -> DataFrame:

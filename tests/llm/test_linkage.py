@@ -99,3 +99,9 @@ def test_hot_blocks_keep_misspelt_undated_and_swapped_pairs(spark, monkeypatch):
     for heavy in (20_000, 3, 1):
         monkeypatch.setattr(linkage, "HEAVY", heavy)
         assert set(pairs(spark, left, right)) == want
+
+
+def test_long_chains_of_shared_keys_are_one_edition(spark):
+    members = spark.createDataFrame([(i, i) for i in range(25)], "id long, edition long").coalesce(1)
+    keys = spark.createDataFrame([(i + k, f"k{i}") for i in range(24) for k in (0, 1)], "id long, key string").coalesce(1)
+    assert {r.edition for r in linkage.linked(members, keys).collect()} == {0}
