@@ -1,16 +1,22 @@
 """Text garbled by decoding with a wrong character encoding: find it and restore it.
 
 Words are compared, since often only part of a value is garbled. A word and the most frequent word with the same text
-stripped of non-ASCII characters are near-twins; their character runs are aligned and the decoding mistake that turns
-one into the other is inferred. Mistakes seen often enough are applied to all words: forward, to find garbled forms of
-known words, and backward, judged by a model of character pairs, where the clean word is unknown.
+stripped of non-ASCII characters are near-twins. Their ASCII characters are aligned one by one, so that each run of
+other characters stands beside the run it was made of. From these pairs of runs the transformations are learned:
+decoding mistakes between any two encodings that Python knows, and plain substitutions where no encodings explain a
+pair that recurs. What is learned is applied to all words: forward, to find garbled forms of known words, and backward,
+judged by a model of character pairs, where the clean word is unknown.
 """
 
 from __future__ import annotations
 
 import codecs
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from encodings.aliases import aliases
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,12 +25,15 @@ from pyspark.sql import functions as F
 
 from linkspark.runtime import written
 
-#: Encodings that text is written in, and those that it is wrongly read in.
+#: Encodings that text is most often written in, and those that it is most often wrongly read in. Mistakes
+#: among them are preferred where they explain the same runs as others.
 WRITTEN_IN = ["utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac-roman", "cp850", "cp1253", "iso8859-7", "shift_jis", "euc-jp"]
 READ_IN = ["cp1252", "latin-1", "mac-roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp866"]
 
 #: Distinct near-twin words that must agree on a mistake before it is applied to others.
 MIN_SUPPORT = 3
+#: Share of the words with a run that must have a near-twin with one other run, before that substitution is learned.
+MIN_SHARE = 0.5
 #: Characters from which a word alone is evidence; shorter ones need their value's context.
 STRONG_LENGTH = 3
 #: Times by which the clean word must outnumber its garbled form.
@@ -102,12 +111,108 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"slot": at.astype(np.int64), "n": counts[at]})
 
 
-def _infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@lru_cache(maxsize=1)
+def encodings() -> list[str]:
+    """Every text encoding of Python that leaves ASCII as it is and shifts by no escape sequences."""
+    plain = bytes(range(32, 127))
+    out = []
+    for name in sorted(set(aliases.values())):
+        try:
+            if codecs.lookup(name)._is_text_encoding and plain.decode(name) == plain.decode("ascii") and not name.startswith("iso2022") and name not in ("ascii", "punycode", "idna", "mbcs", "oem", "utf_7", "hz"):
+                out.append(name)
+        except (LookupError, UnicodeError, ValueError):
+            continue
+    return out
+
+
+def runs(word: str) -> list[str]:
+    """The runs of non-ASCII characters before, between and after the ASCII ones, empty where there are none."""
+    return re.split(r"[\x00-\x7F]", word)
+
+
+def aligned(word: str, twin: str) -> list[tuple[str, str]]:
+    """Different runs of two words with the same ASCII characters, one beside the other; runs on one side alone left out.
+
+    Neighbouring characters that each became equally many are parted, so that a pair is as short as it can be.
+    """
+    out = []
+    for g, c in zip(runs(word), runs(twin)):
+        if g == c or not g or not c:
+            continue
+        k, odd = divmod(len(g), len(c))
+        out += [(g, c)] if odd or not k else [(g[i * k : i * k + k], c[i]) for i in range(len(c))]
+    return [(g, c) for g, c in dict.fromkeys(out) if g != c]
+
+
+def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = [(word, g, c, len(found)) for word, twin in zip(b["word"], b["twin"]) for found in [aligned(word, twin)] for g, c in found]
+        yield pd.DataFrame(out, columns=["word", "run", "meant", "runs"])
+
+
+def explanations(run: str, meant: str) -> set[str]:
+    """Mistakes that make ``run`` of ``meant``: the usual ones, and between any two encodings."""
+    out = {m for m in mistakes() if garble(meant, m) == run}
+    read: dict[bytes, list[str]] = {}
+    for r in encodings():
+        try:
+            read.setdefault(run.encode(r, "keepbyte"), []).append(r)
+        except UnicodeError:
+            continue
+    for w in encodings():
+        try:
+            out.update(f"{w}>{r}:keepbyte" for r in read.get(meant.encode(w), ()) if r != w)
+        except UnicodeError:
+            continue
+    return out
+
+
+def _explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     _register()
-    known = mistakes()
+    usual = set(mistakes())
     for b in batches:
-        out = [(m, word) for word, twin in zip(b["word"], b["twin"]) for m in known if garble(twin, m) == word]
-        yield pd.DataFrame(out, columns=["mistake", "word"])
+        out = [(g, c, m, m in usual) for g, c in zip(b["run"], b["meant"]) for m in explanations(g, c)]
+        yield pd.DataFrame(out, columns=["run", "meant", "mistake", "usual"])
+
+
+def _bare(text: str) -> str:
+    folded = unicodedata.normalize("NFKD", text.casefold())
+    return "".join(c for c in folded if unicodedata.category(c) not in ("Cf", "Mn", "Zs"))
+
+
+def _substituting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of runs that are no other case, accent or spacing of the same letters, nor lost characters."""
+    for b in batches:
+        keep = [not re.search("[\ufffd\x80-\x9f]", g) and _bare(g) != _bare(c) for g, c in zip(b["run"], b["meant"])]
+        yield b[keep]
+
+
+def learned_from(twins: DataFrame, words: DataFrame) -> tuple[list[str], dict[str, str]]:
+    """Decoding mistakes and substitutions of runs learned from the aligned ``word, twin``.
+
+    A mistake counts the words all of whose runs it explains. One between unusual encodings must explain ``MIN_SUPPORT``
+    words that no usual one explains; of several that explain the same runs the first by name is kept. A pair of runs
+    that nothing explains becomes a substitution if it recurs and most words with the run have it. The driver gets
+    names of pairs of encodings and substitutions, whose number is that of the alphabet, not of the data.
+    """
+    pieces = written(twins.mapInPandas(_aligned, "word string, run string, meant string, runs int"), "aligned")
+    distinct = pieces.groupBy("run", "meant").agg(F.count_distinct("word").alias("k"))
+    known = written(distinct.mapInPandas(_explained, "run string, meant string, mistake string, usual boolean"), "explained")
+    whole = pieces.join(known, ["run", "meant"]).groupBy("word", "mistake", "usual").agg(F.count("*").alias("n"), F.first("runs").alias("runs"), F.sum(F.xxhash64("run", "meant").cast("decimal(20,0)")).alias("what")).where("n = runs")
+    plain = whole.where("usual").select("word").distinct().withColumn("plain", F.lit(True))
+    votes = whole.join(plain, "word", "left").where("usual or plain is null").groupBy("mistake", "usual").agg(F.count("*").alias("k"), F.sum("what").alias("what")).where(f"k >= {MIN_SUPPORT}")
+    chosen: dict[tuple, str] = {}
+    names = []
+    for r in votes.orderBy("mistake").collect():
+        if r.usual:
+            names.append(r.mistake)
+        else:
+            chosen.setdefault((r.k, r.what), r.mistake)
+    odd = distinct.join(known.select("run", "meant").distinct(), ["run", "meant"], "left_anti").where(f"k >= {MIN_SUPPORT}")
+    odd = odd.mapInPandas(_substituting, odd.schema)
+    having = words.select("word", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(r"[^\x00-\x7F]+"), 0))).alias("run")).groupBy("run").agg(F.count("*").alias("all"))
+    table = odd.join(having, "run").where(f"k >= {MIN_SHARE} * all").groupBy("run").agg(F.max(F.struct("k", "meant"))["meant"].alias("meant"))
+    return sorted({*names, *chosen.values()}), {r.run: r.meant for r in table.collect()}
 
 
 def _forward(learned: list[str]):
@@ -120,6 +225,21 @@ def _forward(learned: list[str]):
     return run
 
 
+def substituted(word: str, table: dict[str, str]) -> str | None:
+    """The word with its learned runs replaced; None where it has none."""
+    out = re.sub(r"[^\x00-\x7F]+", lambda m: table.get(m.group(), m.group()), word)
+    return None if out == word else out
+
+
+def _replaced(table: dict[str, str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(word, clean, "substitution") for word in b["word"] if (clean := substituted(word, table))]
+            yield pd.DataFrame(out, columns=["word", "clean", "mistake"])
+
+    return run
+
+
 def _backward(learned: list[str], model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _register()
@@ -157,11 +277,12 @@ def _words(values: DataFrame) -> DataFrame:
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
-    """``word, clean, mistake, strong`` of the garbled ones among ``word, n``.
+    """``word, clean, mistake, evidence, strong`` of the garbled ones among ``word, n``.
 
-    ``clean`` is null where the text cannot be restored. A word lost to replacement or control characters is garbled
-    in any case. ``strong`` tells words that need no context. Ties between clean words go to the most frequent, then
-    the least in code-point order.
+    ``evidence`` is ``twin`` where the clean word occurs, ``mapping`` where a learned transformation gives a likelier
+    word that does not, ``lost`` where replacement or control characters show that text is gone. ``clean`` is null where
+    it cannot be restored. ``strong`` tells words that need no context. Ties between clean words go to the most
+    frequent, then the least in code-point order.
     """
     from linkspark.llm.lookalikes import TO_LATIN
 
@@ -175,12 +296,13 @@ def garbled_words(words: DataFrame) -> DataFrame:
     anchored = shaped.where(F.length(F.regexp_replace("stripped", "[^A-Za-z]", "")) >= 2)
     best = anchored.where(f"not word rlike '{lost}'").groupBy("stripped").agg(F.max(F.struct(F.col("n"), F.col("word").alias("w"))).alias("top"))
     twins = anchored.join(best, "stripped").where("word <> top.w and n * 2 <= top.n").select("word", F.col("top.w").alias("twin"))
-    votes = twins.mapInPandas(_infer, "mistake string, word string")
+    twins = written(twins, "twins")
+    mistaken, table = learned_from(twins, words)
     # words of which stripping leaves nothing to join on: their mistakes are inferred from words equal after garbling
     bare = shaped.where("stripped rlike '^[^A-Za-z]*$' and length(word) >= 4")
     one_byte = [m for m in mistakes() if m.endswith(":keepbyte") and "+" not in m]
     same = bare.mapInPandas(_forward(one_byte), "word string, clean string, n_clean long, mistake string").join(words, "word").where(f"n_clean >= n * {MIN_RATIO}")
-    learned = sorted(r.mistake for r in votes.unionByName(same.select("mistake", "word")).groupBy("mistake").agg(F.countDistinct("word").alias("k")).where(f"k >= {MIN_SUPPORT}").collect())
+    learned = sorted({*mistaken, *(r.mistake for r in same.groupBy("mistake").agg(F.countDistinct("word").alias("k")).where(f"k >= {MIN_SUPPORT}").collect())})
 
     found = words.where(f"not word rlike '{lost}'").mapInPandas(_forward(learned), "word string, clean string, n_clean long, mistake string") if learned else None
     pairs = words.mapInPandas(_pairs, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -192,23 +314,27 @@ def garbled_words(words: DataFrame) -> DataFrame:
     by_twin = (
         words.join(found, "word").where(f"n_clean >= n * {MIN_RATIO}")
         .groupBy("word").agg(F.max(F.struct("n_clean", "clean", "mistake")).alias("m"))
-        .select("word", "m.clean", "m.mistake", (F.length("word") >= STRONG_LENGTH).alias("strong"))
-    ) if found is not None else spark.createDataFrame([], "word string, clean string, mistake string, strong boolean")
+        .select("word", "m.clean", "m.mistake", F.lit("twin").alias("evidence"), (F.length("word") >= STRONG_LENGTH).alias("strong"))
+    ) if found is not None else spark.createDataFrame([], "word string, clean string, mistake string, evidence string, strong boolean")
+    if table:
+        clear = words.where(f"not word rlike '{lost}'").mapInPandas(_replaced(table), "word string, clean string, mistake string").join(by_twin.select("word"), "word", "left_anti")
+        by_twin = by_twin.unionByName(clear.select("*", F.lit("mapping").alias("evidence"), F.lit(True).alias("strong")))
     by_twin = written(by_twin, "garbled")
     rest = words.join(by_twin.select("word"), "word", "left_anti")
     # a word that is more frequent in other letter case is that word
     cased = words.groupBy(F.lower("word").alias("low")).agg(F.max("n").alias("top"))
     odd_cased = rest.withColumn("low", F.lower("word")).join(cased, "low").where(f"top < n * {MIN_RATIO}").select("word", "n")
-    by_model = odd_cased.mapInPandas(_backward(learned, model), "word string, clean string, mistake string").withColumn("strong", F.length("word") >= STRONG_LENGTH)
+    by_model = odd_cased.mapInPandas(_backward(learned, model), "word string, clean string, mistake string").select("*", F.lit("mapping").alias("evidence"), (F.length("word") >= STRONG_LENGTH).alias("strong"))
     unsure = rest.where(f"word rlike '{lost}'").withColumn("stripped", ascii_text)
-    by_loss = unsure.join(best, "stripped", "left").select("word", F.col("top.w").alias("clean"), F.lit("lost").alias("mistake"), F.lit(True).alias("strong"))
-    both = by_model.unionByName(by_loss).groupBy("word").agg(F.min(F.struct((F.col("mistake") == "lost").alias("last"), "clean", "mistake", "strong")).alias("m")).select("word", "m.clean", "m.mistake", "m.strong")
+    by_loss = unsure.join(best, "stripped", "left").select("word", F.col("top.w").alias("clean"), F.lit("lost").alias("mistake"), F.lit("lost").alias("evidence"), F.lit(True).alias("strong"))
+    both = by_model.unionByName(by_loss).groupBy("word").agg(F.min(F.struct((F.col("evidence") == "lost").alias("last"), "clean", "mistake", "evidence", "strong")).alias("m")).select("word", "m.clean", "m.mistake", "m.evidence", "m.strong")
     return by_twin.unionByName(both)
 
 
 def garbled_values(values: DataFrame) -> DataFrame:
-    """``value, restored`` of the garbled ones among the distinct ``value, n``; ``restored`` null where not possible.
+    """``value, restored, evidence`` of the garbled ones among the distinct ``value, n``; ``restored`` null where not possible.
 
+    ``evidence`` is the best of its words': ``twin``, then ``mapping``, then ``lost`` (see ``garbled_words``).
     Very long values count like others; empty tables give none. A value whose only evidence are short words counts if
     its restored text occurs as a value more often.
     """
@@ -222,14 +348,15 @@ def garbled_values(values: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("clean", "word").alias("w")))), lambda x: x["w"]), "").alias("restored"),
         F.max(F.coalesce("strong", F.lit(False))).alias("strong"),
         F.max(F.col("mistake").isNotNull() & F.col("clean").isNull()).alias("beyond"),
+        F.max("evidence").alias("evidence"),  # by name: twin, mapping, lost
     )
     known = values.select(F.col("value").alias("restored"), F.col("n").alias("m"))
     sure = whole.join(known, "restored", "left").where("strong or m > n")
-    return sure.select("value", F.when(~F.col("beyond"), F.col("restored")).alias("restored"))
+    return sure.select("value", F.when(~F.col("beyond"), F.col("restored")).alias("restored"), "evidence")
 
 
 def find_garbled(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
-    """``field_name, record_id, value, restored`` of every garbled value in the columns of the tables ``(df, id, columns)``.
+    """``field_name, record_id, value, restored, evidence`` of every garbled value in the columns of the tables ``(df, id, columns)``.
 
     Nulls, empty strings and pure ASCII never count. Record ids that occur twice with one content give one row.
     """
@@ -239,4 +366,4 @@ def find_garbled(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
     values = written(rows.groupBy("value").agg(F.count("*").alias("n")), "values")
     bad = garbled_values(values)
-    return rows.join(bad, "value").select("field_name", "record_id", "value", "restored").distinct()
+    return rows.join(bad, "value").select("field_name", "record_id", "value", "restored", "evidence").distinct()

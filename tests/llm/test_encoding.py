@@ -54,3 +54,36 @@ def test_empty_long_and_repeated(spark):
     rows = [(1, long), (2, long + "Ã©"), (2, long + "Ã©"), (3, long + "�")]
     got = sorted(r.record_id for r in encoding.find_garbled([(tracks(spark, rows), "track_id", ["track_title"])]).collect())
     assert 3 in got and got.count(2) <= 1 and 1 not in got
+
+
+def test_alignment_parts_runs_as_far_as_it_can():
+    assert encoding.aligned("MaÃ±ana", "Mañana") == [("Ã±", "ñ")]
+    assert encoding.aligned("ÃµÃ£x", "õãx") == [("Ãµ", "õ"), ("Ã£", "ã")]
+    assert encoding.aligned("¡Sueños", "Sueños") == [] == encoding.aligned("caf", "caf")
+    assert encoding.aligned("aÃ©bè", "aébè") == [("Ã©", "é")]
+
+
+@pytest.mark.parametrize("reader", ["cp1257"])
+def test_mistakes_outside_the_usual_encodings_are_learned(spark, reader):
+    mistake = f"utf-8>{reader}:keepbyte"
+    assert mistake not in encoding.mistakes()
+    words = ["São", "Canções", "Sertão", "Até", "Mañana", "Otoño", "Fêtes", "Après", "Gärten", "Wölfe", "Müde", "Köln"]
+    rows = [(k, w) for k, w in enumerate(words * 40)] + [(500 + k, encoding.garble(w, mistake)) for k, w in enumerate(words)]
+    rows += [(600, encoding.garble("Sertãoño", mistake))]  # has no twin: only the learned mapping tells
+    got = {r.record_id: (r.restored, r.evidence) for r in encoding.find_garbled([(tracks(spark, rows), "track_id", ["track_title"])]).collect()}
+    assert {k: got[500 + k] for k in range(len(words))} == {k: (w, "twin") for k, w in enumerate(words)}
+    assert got[600] == ("Sertãoño", "mapping") and len(got) == len(words) + 1
+
+
+def test_substitutions_that_no_encoding_explains_are_learned(spark):
+    words = ["São", "Canções", "Sertão", "Irmão", "Verão", "Pão"]
+    rows = [(k, w) for k, w in enumerate(words * 12)] + [(500 + k, w.replace("ã", "§¶")) for k, w in enumerate(words) if "ã" in w] + [(600, "Manh§¶")]
+    got = {r.record_id: r.restored for r in encoding.find_garbled([(tracks(spark, rows), "track_id", ["track_title"])]).collect()}
+    assert got == {500: "São", 502: "Sertão", 503: "Irmão", 504: "Verão", 505: "Pão", 600: "Manhã"}
+
+
+def test_nothing_is_found_without_alignment(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "learned_from", lambda twins, words: ([], {}))
+    rows = [(k, "São") for k in range(20)] + [(100, "SÃ£o"), (101, "S�o")]
+    got = {r.record_id: r.evidence for r in encoding.find_garbled([(tracks(spark, rows), "track_id", ["track_title"])]).collect()}
+    assert got == {101: "lost"}
