@@ -96,7 +96,13 @@ def _resolved_names(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     spelled = F.struct(F.length("name").alias("len"), "name")
-    return _resolved_names(spark, d).groupBy("field_name", "cluster").agg(F.max(spelled)["name"].alias("longest"), F.count("*").alias("spellings")).drop("cluster")
+    return _resolved_names(spark, d).groupBy("field_name", "cluster").agg(F.max(spelled)["name"].alias("longest"), F.count("*").alias("spellings"))
+
+
+@query
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with the id of its entity; one row a spelling, however many an entity has."""
+    return _resolved_names(spark, d)
 
 
 @query
