@@ -8,7 +8,6 @@ probability is its confidence.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from linkspark.llm.links import cells, components
 from linkspark.llm.lookalikes import consistent
 from linkspark.llm.names import ADDRESS, WHOLE_LETTERS, one_edit
 from linkspark.runtime import forget, written
@@ -39,11 +39,16 @@ WEIGHTS = {
     "discs": (0.3, 0.0, -0.5),
 }
 PRIOR = -5.0
-#: Largest change of a message at which the propagation ends, and rounds after which it ends anyway.
-TOLERANCE = 1e-3
+#: Largest change of a confidence at which the propagation ends.
+TOLERANCE = 1e-4
+#: Rounds in which it must have ended; more are an error. The damped messages of one-to-one factors settle in some tens.
+MOST_ROUNDS = 400
+#: Log-odds up to which a pair is impossible: alone it would reach a confidence of 0.05 only, and moves no message more.
+IMPOSSIBLE = -3.0
+#: Different titles from which a code that stands with no title in half of its rows is a placeholder.
+PLACEHOLDER_TITLES = 20
 #: Pairs of a block from which it is cut into cells of about that many; changes no result.
 HEAVY = 20_000
-MAX_ROUNDS = 30
 THRESHOLD = 0.5
 
 FIELDS = ["title", "artist", "barcode", "catalog", "label", "country", "date", "kind", "discs"]
@@ -120,22 +125,18 @@ def _words_key(col: str) -> F.Column:
 SAME_SOURCE = 2.0
 
 
-def linked(members: DataFrame, keys: DataFrame) -> DataFrame:
-    """``id, edition`` with the edition of everything that shares keys, directly or through others, made equal.
+def without_placeholders(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``features`` with codes nulled that identify nothing: those of many titles, none of which is most frequent.
 
-    ``members`` is id, edition; ``keys`` is id, key. The least number passes along shared keys by joins until nothing
-    changes; no group is gathered in one place.
+    So a bogus code of a third of all rows makes no block, while one edition that is imported so often keeps its code.
     """
-    label = members
-    while True:  # ends: numbers only fall, and none below the least of the group
-        low = keys.join(label, "id").groupBy("key").agg(F.min("edition").alias("low"))
-        lower = keys.join(low, "key").groupBy("id").agg(F.min("low").alias("low"))
-        seen, old = Observation(), label
-        label = written(label.join(lower, "id", "left").observe(seen, F.count_if(F.col("low") < F.col("edition")).alias("moved")).select("id", F.least("edition", "low").alias("edition")), "editions")
-        if old is not members:
-            forget(old)
-        if not seen.get["moved"]:
-            return label
+    for code in ("barcode", "catalog"):
+        per_title = rows.where(F.col(code).isNotNull() & (F.size("title") > 0)).groupBy(code, _words_key("title").alias("t")).agg(F.count("*").alias("n"))
+        bogus = per_title.groupBy(code).agg(F.count("*").alias("titles"), F.max("n").alias("top"), F.sum("n").alias("all")).where(f"titles > {PLACEHOLDER_TITLES} and top * 2 < all")
+        bogus = written(bogus.select(F.col(code).alias("bogus")), "placeholders")
+        if not bogus.isEmpty():
+            rows = rows.join(bogus, F.col(code) == F.col("bogus"), "left").withColumn(code, F.when(F.col("bogus").isNull(), F.col(code))).drop("bogus")
+    return rows
 
 
 def editions(rows: DataFrame) -> DataFrame:
@@ -152,8 +153,8 @@ def editions(rows: DataFrame) -> DataFrame:
         return F.when(F.col(first).isNotNull() & F.col(second).isNotNull(), F.concat_ws("\u001f", F.lit(tag), first, second))
 
     each = F.array_compact(F.array(key("k", "barcode", "catalog"), key("b", "barcode", "t"), key("c", "catalog", "t")))
-    keys = written(base.select("id", F.explode(each).alias("key")), "editionkeys")
-    label = linked(rows.select("id", F.col("id").alias("edition")), keys)
+    keys = written(base.select("id", F.explode(F.transform(each, lambda k: F.md5(k))).alias("key")), "editionkeys")
+    label = components(rows.select("id", F.col("id").alias("label")), keys).withColumnRenamed("label", "edition")
     named = label.join(base.select("id", "text", F.coalesce("barcode", "catalog").isNotNull().alias("named")), "id")
     only = named.where("named and text is not null").groupBy("text").agg(F.min("edition").alias("only"), F.max("edition").alias("last")).where("only = last").select("text", "only")
     bare = named.where("not named and text is not null").groupBy("text").agg(F.min("id").alias("own"))
@@ -162,8 +163,8 @@ def editions(rows: DataFrame) -> DataFrame:
     p = written(profiles(rows, exact), "profiles")
     same = candidate_pairs(p, p, below=True).where(F.col("odds") >= float(np.exp(SAME_SOURCE)))
     ties = written(same.select(F.explode(F.array("l", "r")).alias("id"), F.concat_ws("-", "l", "r").alias("key")), "ties")
-    joined = linked(p.select(F.col("edition").alias("id"), "edition"), ties)
-    return exact.withColumnRenamed("edition", "e").join(joined.select(F.col("id").alias("e"), "edition"), "e", "left").select("id", F.coalesce("edition", "e").alias("edition"))
+    joined = components(ties.select("id", F.col("id").alias("label")).distinct(), ties)
+    return exact.withColumnRenamed("edition", "e").join(joined.select(F.col("id").alias("e"), F.col("label").alias("edition")), "e", "left").select("id", F.coalesce("edition", "e").alias("edition"))
 
 
 LISTS = ("title", "artist", "label")
@@ -199,29 +200,9 @@ def _blocks(p: DataFrame) -> DataFrame:
         F.when(full_date.isNotNull(), each("l", F.filter("label", lambda t: F.length(t) >= 5), F.col("date"))),
         F.when(F.length("date") >= 4, F.flatten(F.transform(F.filter("title", lambda t: F.length(t) >= 3), lambda t: each("y", long_words, t, F.substring("date", 1, 4))))),
     ]
-    return p.select("edition", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(x, none) for x in lists])))).alias("block"))
-
-
-def gridded_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Blocks of both sides; one with more than ``HEAVY`` pairs is cut into cells of about that many.
-
-    Both sides of such a block are salted by edition and each part stands in the cells of all parts of the other side,
-    so every pair meets in one cell and no task gets a whole hot block.
-    """
-    x = written(_blocks(left), "blocks")
-    y = x if right is left else written(_blocks(right), "blocks")
-    side = max(1, math.isqrt(HEAVY))
-    n = x.groupBy("block").agg(F.count("*").alias("n")).join(y.groupBy("block").agg(F.count("*").alias("m")), "block").where(f"n * m > {HEAVY}")
-    heavy = written(n.select("block", F.ceil(F.col("n") / side).alias("rows"), F.ceil(F.col("m") / side).alias("columns")), "heavy")
-    if heavy.isEmpty():
-        return x, y
-
-    def cells(blocks: DataFrame, own: str, other: str) -> DataFrame:
-        parts = blocks.join(heavy, "block").withColumn(own, F.pmod(F.xxhash64("edition"), F.col(own))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        parts = parts.select("edition", F.concat_ws("\u001e", "block", "rows", "columns").alias("block"))
-        return blocks.join(heavy, "block", "left_anti").select("edition", "block").unionByName(parts)
-
-    return cells(x, "rows", "columns"), cells(y, "columns", "rows")
+    # as hashes: two blocks of one hash would only add pairs that the score then refuses
+    hashes = F.transform(F.flatten(F.array(*[F.coalesce(x, none) for x in lists])), lambda k: F.xxhash64(k))
+    return p.select("edition", F.explode(F.array_distinct(hashes)).alias("block"))
 
 
 def _agree(a, b) -> int:
@@ -292,51 +273,91 @@ def _scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         right = b[[f"r_{f}" for f in FIELDS]].to_numpy()
         score = [pair_score(dict(zip(FIELDS, x)), dict(zip(FIELDS, y))) for x, y in zip(left, right)]
         out = pd.DataFrame({"l": b["l"].astype("int64"), "r": b["r"].astype("int64"), "odds": np.exp(np.clip(score, -30, 30))})
-        yield out[np.array(score) > -3.0]  # beyond that a pair is impossible and moves no message
+        yield out[np.array(score) > IMPOSSIBLE]
+
+
+def _at_most(l: str, r: str) -> F.Column:
+    """An upper bound of ``pair_score`` from the attributes that the JVM compares; titles and names count as equal."""
+
+    def state(field: str, differ: F.Column) -> F.Column:
+        x, y = F.col(f"{l}_{field}"), F.col(f"{r}_{field}")
+        equal, _, different = WEIGHTS[field]
+        return F.when(x.isNull() | y.isNull(), 0.0).when(differ, different).otherwise(equal)
+
+    def code(field: str) -> F.Column:
+        x, y = F.col(f"{l}_{field}"), F.col(f"{r}_{field}")
+        equal, near, different = WEIGHTS[field]
+        # two neighbours swapped are one edit to the score and two here
+        return F.when(x.isNull() | y.isNull(), 0.0).when(x == y, equal).when(F.levenshtein(x, y, 2) >= 0, near).otherwise(different)
+
+    year = F.substring(F.col(f"{l}_date"), 1, 4) != F.substring(F.col(f"{r}_date"), 1, 4)
+    parts = [code("catalog"), code("barcode"), state("date", year), *[state(f, F.col(f"{l}_{f}") != F.col(f"{r}_{f}")) for f in ("country", "kind", "discs")]]
+    total = F.lit(PRIOR + sum(max(WEIGHTS[f][0], 0.0) for f in ("title", "artist", "label")))
+    for p in parts:
+        total = total + p
+    return total
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, below: bool = False) -> DataFrame:
     """``l, r, odds`` of the editions that share a block and are not impossible; ``below`` asks for l < r."""
-    x, y = gridded_blocks(left, right)
+    x = written(_blocks(left), "blocks")
+    y = x if right is left else written(_blocks(right), "blocks")
+    x, y = cells(x, y, "block", "edition", HEAVY)
     met = x.withColumnRenamed("edition", "l").join(y.withColumnRenamed("edition", "r"), "block").where("l < r" if below else "true").select("l", "r").distinct()
     a = left.select(F.col("edition").alias("l"), *[F.col(f).alias(f"l_{f}") for f in FIELDS])
     b = right.select(F.col("edition").alias("r"), *[F.col(f).alias(f"r_{f}") for f in FIELDS])
-    return met.join(a, "l").join(b, "r").mapInPandas(_scored, "l long, r long, odds double")
+    possible = met.join(a, "l").join(b, "r").where(_at_most("l", "r") > IMPOSSIBLE)
+    return possible.mapInPandas(_scored, "l long, r long, odds double")
 
 
-def propagate(pairs: DataFrame) -> DataFrame:
+def propagate(pairs: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """``l, r, confidence``: marginal probabilities of ``l, r, odds`` under one-to-one factors on both sides.
 
     The message of a side is the probability, up to scale, that it is free for the pair: 1 / (1 + the odds of its other
-    pairs times their messages). Rounds of joins update both directions until no message moves by the tolerance.
+    pairs times their messages). Rounds of joins update both directions, halfway in logarithms so that they do not
+    swing, until no confidence moves by the tolerance. Such messages have one fixed point; if they have not settled in
+    ``most_rounds``, that is an error. Pairs whose two sides have no other need no message.
     """
-    state = written(pairs.select("l", "r", "odds", F.lit(1.0).alias("from_l"), F.lit(1.0).alias("from_r")), "messages")
-    for _ in range(MAX_ROUNDS):
+    every = written(pairs.select("l", "r", "odds"), "scored")
+    rivals = every.groupBy("l").agg(F.count("*").alias("at_l")), every.groupBy("r").agg(F.count("*").alias("at_r"))
+    told = written(every.join(rivals[0], "l").join(rivals[1], "r").select("l", "r", "odds", ((F.col("at_l") > 1) | (F.col("at_r") > 1)).alias("rivalled")), "rivals")
+    alone = told.where("not rivalled").select("l", "r", (F.col("odds") / (1.0 + F.col("odds"))).alias("confidence"))
+    state = written(told.where("rivalled").select("l", "r", "odds", F.lit(1.0).alias("from_l"), F.lit(1.0).alias("from_r"), F.lit(0.0).alias("confidence")), "messages")
+    for _ in range(most_rounds):
         at_l = state.groupBy("l").agg(F.sum(F.col("odds") * F.col("from_r")).alias("at_l"))
         at_r = state.groupBy("r").agg(F.sum(F.col("odds") * F.col("from_l")).alias("at_r"))
-        new_l = 1.0 / (1.0 + F.greatest(F.lit(0.0), F.col("at_l") - F.col("odds") * F.col("from_r")))
-        new_r = 1.0 / (1.0 + F.greatest(F.lit(0.0), F.col("at_r") - F.col("odds") * F.col("from_l")))
+        new_l = F.sqrt(F.col("from_l") / (1.0 + F.greatest(F.lit(0.0), F.col("at_l") - F.col("odds") * F.col("from_r"))))
+        new_r = F.sqrt(F.col("from_r") / (1.0 + F.greatest(F.lit(0.0), F.col("at_r") - F.col("odds") * F.col("from_l"))))
         seen, old = Observation(), state
-        change = F.greatest(F.abs(new_l - F.col("from_l")), F.abs(new_r - F.col("from_r")))
-        state = written(state.join(at_l, "l").join(at_r, "r").observe(seen, F.max(change).alias("change")).select("l", "r", "odds", new_l.alias("from_l"), new_r.alias("from_r")), "messages")
+        weight = F.col("odds") * F.col("from_l") * F.col("from_r")
+        moved = state.join(at_l, "l").join(at_r, "r").select("l", "r", "odds", new_l.alias("from_l"), new_r.alias("from_r"), F.col("confidence").alias("before"))
+        moved = moved.withColumn("confidence", weight / (1.0 + weight)).observe(seen, F.max(F.abs(F.col("confidence") - F.col("before"))).alias("change"))
+        state = written(moved.drop("before"), "messages")
         forget(old)
         if (seen.get["change"] or 0.0) < TOLERANCE:
-            break
-    weight = F.col("odds") * F.col("from_l") * F.col("from_r")
-    return state.select("l", "r", (weight / (1.0 + weight)).alias("confidence"))
+            return alone.unionByName(state.select("l", "r", "confidence"))
+    raise RuntimeError(f"messages have not settled in {most_rounds} rounds")
 
 
-def match_sources(left: DataFrame, left_id: str, right: DataFrame, right_id: str, threshold: float = THRESHOLD) -> DataFrame:
-    """``left id, right id, confidence`` of all pairs of records that are the same edition with at least ``threshold``.
+def matched_editions(left: DataFrame, left_id: str, right: DataFrame, right_id: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``l, r, confidence``, members of left, members of right): the same result as pairs of editions and membership.
 
-    Every record of an edition counts, repeated imports and listings too. Records with no usable attribute match
-    nothing; empty tables give no rows. Ties between equal candidates share their probability.
+    Members are the record id and the number of its edition, ``l`` or ``r``; a record that matches nothing has one, too.
     """
     sides = []
     for df, id_col, name in ((left, left_id, "l"), (right, right_id, "r")):
-        rows = written(features(df, id_col), "features")
+        rows = written(without_placeholders(written(features(df, id_col), "features")), "rows")
         grouped = written(editions(rows), "grouped")
         sides.append((written(profiles(rows, grouped), "profiles"), grouped.select(F.col("id").alias(id_col), F.col("edition").alias(name))))
     (a, a_members), (b, b_members) = sides
-    likely = propagate(candidate_pairs(a, b)).where(F.col("confidence") >= threshold)
+    return propagate(candidate_pairs(a, b)).where(F.col("confidence") >= threshold), a_members, b_members
+
+
+def match_sources(left: DataFrame, left_id: str, right: DataFrame, right_id: str, threshold: float = THRESHOLD) -> DataFrame:
+    """``left id, right id, confidence`` of all pairs of records that are the same edition with at least ``threshold``.
+
+    Every record of an edition counts, repeated imports and listings too. Records with no usable attribute match
+    nothing; empty tables give no rows. Ties between equal candidates share their probability.
+    """
+    likely, a_members, b_members = matched_editions(left, left_id, right, right_id, threshold)
     return likely.join(a_members, "l").join(b_members, "r").select(left_id, right_id, "confidence")

@@ -39,8 +39,9 @@ def cells(x: DataFrame, y: DataFrame, key: str, own: str, most: int) -> tuple[Da
     """``own, key`` of both sides with every key of more than ``most`` pairs cut into cells of about that many.
 
     Both sides of such a key are salted by ``own`` and each part stands in the cells of all parts of the other side, so
-    every pair meets in exactly one cell and no task gets a whole hot key. Changes no result.
+    every pair meets in exactly one cell and no task gets a whole hot key. Changes no result. A key is text or a hash.
     """
+    numbered = x.schema[key].dataType.typeName() == "long"
     side = max(1, math.isqrt(most))
     n = x.groupBy(key).agg(F.count("*").alias("n")).join(y.groupBy(key).agg(F.count("*").alias("m")), key).where(f"n * m > {most}")
     heavy = written(n.select(key, F.ceil(F.col("n") / side).alias("rows"), F.ceil(F.col("m") / side).alias("columns")), "heavy")
@@ -49,7 +50,8 @@ def cells(x: DataFrame, y: DataFrame, key: str, own: str, most: int) -> tuple[Da
 
     def cut(blocks: DataFrame, mine: str, other: str) -> DataFrame:
         parts = blocks.join(heavy, key).withColumn(mine, F.pmod(F.xxhash64(own), F.col(mine))).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        parts = parts.withColumn(key, F.concat_ws("\u001e", key, "rows", "columns")).select(blocks.columns)
+        cell = F.xxhash64(key, "rows", "columns") if numbered else F.concat_ws("\u001e", key, "rows", "columns")
+        parts = parts.withColumn(key, cell).select(blocks.columns)
         return blocks.join(heavy, key, "left_anti").select(blocks.columns).unionByName(parts)
 
     return cut(x, "rows", "columns"), cut(y, "columns", "rows")

@@ -169,3 +169,14 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
     from linkspark.llm import linkage
 
     return linkage.match_sources(table(spark, d, "releases"), "release_id", table(spark, d, "catalogue_releases"), "catalogue_id")
+
+
+@query
+def p1_editions(spark: SparkSession, d: str) -> DataFrame:
+    """Membership: every record of both sources with its edition; matching editions have one number, the local one's."""
+    from linkspark.llm import linkage
+
+    likely, a, b = linkage.matched_editions(table(spark, d, "releases"), "release_id", table(spark, d, "catalogue_releases"), "catalogue_id")
+    best = likely.groupBy("r").agg(F.max(F.struct("confidence", -F.col("l")))["col2"].alias("minus"))
+    theirs = b.join(best, "r", "left").select(F.lit("catalogue").alias("source"), F.col("catalogue_id").alias("record_id"), F.coalesce(-F.col("minus"), F.col("r")).alias("edition"))
+    return a.select(F.lit("local").alias("source"), F.col("release_id").alias("record_id"), F.col("l").alias("edition")).unionByName(theirs)

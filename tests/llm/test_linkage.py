@@ -101,7 +101,41 @@ def test_hot_blocks_keep_misspelt_undated_and_swapped_pairs(spark, monkeypatch):
         assert set(pairs(spark, left, right)) == want
 
 
-def test_long_chains_of_shared_keys_are_one_edition(spark):
-    members = spark.createDataFrame([(i, i) for i in range(25)], "id long, edition long").coalesce(1)
-    keys = spark.createDataFrame([(i + k, f"k{i}") for i in range(24) for k in (0, 1)], "id long, key string").coalesce(1)
-    assert {r.edition for r in linkage.linked(members, keys).collect()} == {0}
+def test_a_code_of_many_titles_is_a_placeholder_and_a_hot_edition_keeps_its_code(spark):
+    rows = [(i, f"Title{i % 40} river", "Zarteizit", "2900000000017", "HOT 1", None, None) for i in range(80)] + [(100 + i, "Stone", "Brumvaro", "2911111111112", None, None, None) for i in range(60)]
+    rows += [(200 + i, f"Ash{i}", "Vuljakit", "2911111111112", None, None, None) for i in range(25)]
+    got = linkage.without_placeholders(linkage.features(source(spark, "release_id", rows), "release_id")).collect()
+    assert {(r.barcode, r.catalog) for r in got if r.id < 100} == {(None, None)} and {r.barcode for r in got if r.id >= 100} == {"2911111111112"}
+
+
+def test_strong_chains_settle_and_endless_rounds_are_an_error(spark):
+    odds = [1e9, 1e6, 1e9, 1e6, 1e9, 1e9, 1e3]
+    chain = spark.createDataFrame([(k // 2 + k % 2, 100 + k // 2, w) for k, w in enumerate(odds)], "l long, r long, odds double")
+    assert all(0 <= r.confidence <= 1 for r in linkage.propagate(chain).collect())
+    with pytest.raises(RuntimeError, match="settled"):
+        linkage.propagate(chain, 1)
+
+
+def test_the_bound_of_a_score_holds(spark):
+    rng = random.Random(4)
+    pick = lambda *v: rng.choice([None, *v])
+
+    def one():
+        return {"title": pick(["stone"], ["stone", "ash"]), "artist": pick(["brumvaro"], ["zarteizit", "trio"]), "barcode": pick("29000017", "29000071", "2900001", "55555555"), "catalog": pick("CHO-12", "CHO-21", "NOL-7"), "label": pick(["cho"]),
+                "country": pick("DE", "FR"), "date": pick("2001", "20010203", "1999"), "kind": pick("album", "ep"), "discs": pick(1, 2)}
+
+    sides = [(one(), one()) for _ in range(400)]
+    rows = [(k, *[x[f] for f in linkage.FIELDS], *[y[f] for f in linkage.FIELDS]) for k, (x, y) in enumerate(sides)]
+    kinds = {"title": "array<string>", "artist": "array<string>", "label": "array<string>", "discs": "int"}
+    schema = "k int, " + ", ".join(f"{s}_{f} {kinds.get(f, 'string')}" for s in "lr" for f in linkage.FIELDS)
+    for r in spark.createDataFrame(rows, schema).select("k", linkage._at_most("l", "r").alias("most")).collect():
+        assert r.most >= linkage.pair_score(*sides[r.k]) - 1e-9
+
+
+def test_membership_gives_matching_editions_one_number(spark, tmp_path):
+    from linkspark.llm.queries import p1_editions
+
+    row = ("Stone and Sparrows", "Yolanda Brumvaro", "2900000000017", "CHO 1234", None, None)
+    source(spark, "release_id", [(1, *row), (2, *row), (3, None, None, None, None, None, None)]).write.parquet(f"{tmp_path}/releases.parquet")
+    source(spark, "catalogue_id", [(9, *row), (10, "Other", "Trio Jeltrelit", "2911111111112", "X 1", None, None)]).write.parquet(f"{tmp_path}/catalogue_releases.parquet")
+    assert {(r.source, r.record_id): r.edition for r in p1_editions(spark, str(tmp_path)).collect()} == {("local", 1): 1, ("local", 2): 1, ("local", 3): 3, ("catalogue", 9): 1, ("catalogue", 10): 10}
