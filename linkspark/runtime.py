@@ -50,6 +50,29 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, complete from the moment it has its name; its folder must not hold one of that name."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(path + ".draft")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, where):
+        raise OSError(f"{path} is there already")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.option("wholetext", True).text(path).first()[0]
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders right in a folder; none if it does not exist."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of fewer partitions than cores one partition a core; larger scans stay as they are, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
