@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from linkspark.runtime import shared_path, written
+from linkspark.runtime import forget, names_in, read_text, remove, shared_path, write_text, written
 
 #: Articles that catalogues move behind a comma ("Quartet, The"), in upper case.
 ARTICLES = ["THE", "A", "AN", "DER", "DIE", "DAS", "LE", "LA", "LES", "EL", "LOS", "LAS", "O", "OS", "AS", "IL", "LO", "GLI", "DE", "HET"]
@@ -60,20 +61,28 @@ def keyed(df: DataFrame, id_col: str, fields: list[str], time_col: str) -> DataF
 
 
 class Ledger:
-    """Counts by canonical key, in hash buckets that are files of their own.
+    """Counts by canonical key, in hash buckets that are files of their own below one folder.
 
     A batch is aggregated first, then full-outer-joined with the buckets it touches only; those are written anew and
-    the others kept. The manifest (bucket to folder) is all that the driver holds; its size is ``n_buckets``.
+    the others kept. The manifest (which folder holds each bucket) is a file beside them, written last: a batch counts
+    wholly or not at all, and a later session goes on where this one stopped by naming the same ``path``. Buckets
+    double when they hold more than ``bucket_keys`` keys on average, so that each stays the work of one task. Folders
+    that a batch supersedes are deleted by the next one, when nobody reads them any more. One writer at a time.
     """
 
     FIELDS = "key string, copies bigint, first struct<seen:timestamp_ntz,id:bigint,title:string,artist:string>"
 
-    def __init__(self, spark: SparkSession, n_buckets: int = 16):
-        self.spark, self.n_buckets = spark, n_buckets
-        self.manifest: dict[int, str] = {}
+    def __init__(self, spark: SparkSession, path: str | None = None, least_buckets: int = 16, bucket_keys: int = 1_000_000):
+        self.spark, self.bucket_keys = spark, bucket_keys
+        self.path = (path or shared_path(spark, "ledger")).rstrip("/")
+        known = [n for n in names_in(spark, self.path) if n.startswith("manifest-") and n.endswith(".json")]
+        state = json.loads(read_text(spark, f"{self.path}/{known[-1]}")) if known else {"version": 0, "n_buckets": least_buckets, "keys": 0, "buckets": {}, "superseded": []}
+        self.version, self.n_buckets, self.keys = state["version"], state["n_buckets"], state["keys"]
+        self.manifest: dict[int, str] = {int(b): folder for b, folder in state["buckets"].items()}
+        self.superseded: list[str] = state["superseded"]
 
     def table(self, buckets: list[int] | None = None) -> DataFrame:
-        paths = [self.manifest[b] for b in sorted(self.manifest) if buckets is None or b in buckets]
+        paths = [f"{self.path}/{self.manifest[b]}" for b in sorted(self.manifest) if buckets is None or b in buckets]
         reader = self.spark.read.schema(self.FIELDS)
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], self.FIELDS)
 
@@ -83,31 +92,48 @@ class Ledger:
         An empty batch changes nothing. Repeated rows count each.
         """
         fresh = batch.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("seen", "id", "title", "artist")).alias("first"))
-        bucket = F.pmod(F.xxhash64("key"), F.lit(self.n_buckets)).cast("int")
-        fresh = written(fresh.withColumn("bucket", bucket), "batch")
-        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]
-        fresh, old = fresh.drop("bucket"), self.table(touched)
+        size = Observation()
+        fresh = written(fresh.observe(size, F.count("*").alias("keys")), "batch")
+        arrived = size.get["keys"]
+        if not arrived:
+            return self
+        n = self.n_buckets
+        while self.keys + arrived > n * self.bucket_keys:
+            n *= 2
+        bucket = F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+        if n != self.n_buckets:  # every key moves to a bucket of the new number
+            touched = None
+        else:
+            touched = [r.bucket for r in fresh.select(bucket.alias("bucket")).distinct().collect()]  # at most n rows
         earlier, later = F.col("o.first"), F.col("n.first")
+        known = Observation()
         merged = (
-            old.alias("o").join(fresh.alias("n"), "key", "full_outer").select(
+            self.table(touched).alias("o").join(fresh.alias("n"), "key", "full_outer")
+            .observe(known, F.count_if(F.col("o.copies").isNull()).alias("new")).select(
                 "key",
                 (F.coalesce("o.copies", F.lit(0)) + F.coalesce("n.copies", F.lit(0))).alias("copies"),
                 F.least(earlier, later).alias("first"),
             )
         )
-        path = shared_path(self.spark, "ledger")
-        merged.withColumn("bucket", bucket).repartition(self.n_buckets, "bucket").write.partitionBy("bucket").parquet(path)
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        for status in hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(hadoop):
-            name = status.getPath().getName()
-            if name.startswith("bucket="):
-                self.manifest[int(name.split("=")[1])] = f"{path}/{name}"
+        folder = f"batch-{self.version + 1:06d}"
+        remove(self.spark, f"{self.path}/{folder}")  # left by a batch that did not end
+        merged.withColumn("bucket", bucket).repartition(n, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        written_anew = {int(name.split("=")[1]): f"{folder}/{name}" for name in names_in(self.spark, f"{self.path}/{folder}") if name.startswith("bucket=")}
+        kept = {} if touched is None else {b: f for b, f in self.manifest.items() if b not in written_anew}
+        old, stale = self.superseded, [f for b, f in self.manifest.items() if b not in kept]
+        self.version, self.n_buckets, self.keys = self.version + 1, n, self.keys + known.get["new"]
+        self.manifest, self.superseded = kept | written_anew, stale
+        state = {"version": self.version, "n_buckets": n, "keys": self.keys, "buckets": self.manifest, "superseded": stale}
+        write_text(self.spark, f"{self.path}/manifest-{self.version:09d}.json", json.dumps(state))
+        for name in [*old, f"manifest-{self.version - 1:09d}.json"]:
+            remove(self.spark, f"{self.path}/{name}")
+        forget(fresh)
         return self
 
 
-def ledger_of(rows: DataFrame, batches: int = 3, n_buckets: int = 16) -> Ledger:
+def ledger_of(rows: DataFrame, batches: int = 3, path: str | None = None, **options: int) -> Ledger:
     """Ledger of ``keyed`` rows, fed in ``batches`` of rising time as they would have arrived."""
-    ledger = Ledger(rows.sparkSession, n_buckets)
+    ledger = Ledger(rows.sparkSession, path, **options)
     at = F.unix_seconds(F.col("seen").cast("timestamp"))
     cuts = rows.select(F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     part = F.lit(0)

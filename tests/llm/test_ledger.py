@@ -44,9 +44,9 @@ def test_batches_and_buckets_agree_with_brute_force(spark):
     for i, t, a in items:
         groups.setdefault(tuple(sorted([letters(t), letters(a)])), []).append(i)
     expected = sorted((a, b) for g in groups.values() for a in g for b in g if a < b)
-    assert found(spark, items, batches=1, n_buckets=1) == found(spark, items, batches=4, n_buckets=7) == expected
+    assert found(spark, items, batches=1, least_buckets=1) == found(spark, items, batches=4, least_buckets=7) == expected
     r = rows(spark, items)
-    table = ledger.ledger_of(r, batches=4, n_buckets=3).table().collect()
+    table = ledger.ledger_of(r, batches=4, least_buckets=2, bucket_keys=2).table().collect()
     assert sorted((x.copies, x["first"].id) for x in table) == sorted((len(g), min(g)) for g in groups.values())
 
 
@@ -57,9 +57,23 @@ def test_hot_group_is_salted(spark, monkeypatch):
 
 
 def test_only_touched_buckets_are_rewritten(spark):
-    book = ledger.Ledger(spark, 8).apply(rows(spark, [(i, f"t{i}", "a") for i in range(40)]))
+    book = ledger.Ledger(spark, least_buckets=8).apply(rows(spark, [(i, f"t{i}", "a") for i in range(40)]))
     before = dict(book.manifest)
     book.apply(rows(spark, [(99, "T3", "A")]))
     assert sum(before[k] != v for k, v in book.manifest.items()) == 1 and sum(r.copies for r in book.table().collect()) == 41
     book.apply(rows(spark, []))
     assert book.table().count() == 40
+
+
+def test_a_second_session_goes_on_and_buckets_grow(spark, tmp_path):
+    path = f"file://{tmp_path}/book"
+    first = ledger.Ledger(spark, path, least_buckets=2, bucket_keys=10).apply(rows(spark, [(i, f"t{i}", "a") for i in range(15)]))
+    assert first.n_buckets == 2
+    later = ledger.Ledger(spark.newSession(), path, bucket_keys=10)
+    assert (later.version, later.keys, later.n_buckets) == (1, 15, 2)
+    again = ledger.Ledger(spark, path, bucket_keys=10).apply(rows(spark, [(100 + i, f"T{i}!", "A") for i in range(30)]))
+    assert (again.n_buckets, again.keys, again.version) == (8, 30, 2)
+    assert sorted((r.copies, r["first"].id) for r in again.table().collect()) == sorted([(2, i) for i in range(15)] + [(1, 100 + i) for i in range(15, 30)])
+    again.apply(rows(spark, [(500, "new", "b")]))
+    left = {p.parent.name for p in tmp_path.rglob("bucket=*")}
+    assert "batch-000001" not in left and len(list(tmp_path.rglob("manifest-*.json"))) == 1 and ledger.Ledger(spark, path).table().count() == 31
