@@ -29,6 +29,8 @@ PENALTY = 8.0
 #: Neighbouring n-grams overlap; their summed log-likelihoods are divided by this.
 TEMPER = 2.0
 EM_STEPS = 12
+#: Different addresses with which a paragraph's text stands in the archive, from which it is a disclaimer.
+DISCLAIMER_ADDRESSES = 3
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -75,12 +77,11 @@ def _log_sum(a: np.ndarray) -> np.ndarray:
 def fit_shares(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over paragraphs x languages: shares, posteriors and log-likelihood."""
     share = np.full(ll.shape[1], 1.0 / ll.shape[1])
-    weight = np.maximum(1.0, np.ones(len(ll)))
     for _ in range(EM_STEPS):
         joint = ll + np.log(share)
         total = _log_sum(joint)
         posterior = np.exp(joint - total[:, None])
-        new = np.maximum((posterior * weight[:, None]).sum(axis=0) / weight.sum(), 1e-9)
+        new = np.maximum(posterior.mean(axis=0), 1e-9)
         done = np.abs(new - share).max() < 1e-6
         share = new
         if done:
@@ -103,10 +104,33 @@ def language_set(ll: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], n
     return chosen, share, posterior
 
 
-def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+PARSED = "row long, doc_id long, lang string, paragraphs array<string>, held array<struct<text:string,template:string,address:string>>, whole string"
+
+
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        out = [(lang, p) for lang, text in zip(b["lang"], b["text"]) for p in mail.written_paragraphs(text)]
-        yield pd.DataFrame(out, columns=["lang", "paragraph"])
+        both = [mail.paragraphs(t) for t in b["text"]]
+        b["paragraphs"] = [p for p, _ in both]
+        b["held"] = [[h._asdict() for h in held] for _, held in both]
+        b["whole"] = [None if p else mail.whole_text(t) for (p, _), t in zip(both, b["text"])]
+        yield b[["row", "doc_id", "lang", "paragraphs", "held", "whole"]]
+
+
+def written_text(documents: DataFrame) -> DataFrame:
+    """``doc_id, lang, paragraphs, whole`` of ``doc_id, lang, text``: what people wrote, without disclaimers.
+
+    A paragraph with an address is a disclaimer if its other words stand in the archive with at least
+    ``DISCLAIMER_ADDRESSES`` different addresses, and else counts like all. ``whole`` is all visible text where nothing
+    else is there. Messages are parsed once, into a table of the shared folder.
+    """
+    numbered = spread(documents).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "lang", "text")
+    parsed = written(numbered.mapInPandas(_parsed, PARSED), "paragraphs")
+    held = parsed.where("size(held) > 0")
+    each = held.select("row", F.inline("held"))
+    disclaimers = each.select("template", "address").distinct().groupBy("template").agg(F.count("*").alias("n")).where(f"n >= {DISCLAIMER_ADDRESSES}").select("template")
+    own = each.join(written(disclaimers, "disclaimers"), "template", "left_anti").groupBy("row").agg(F.collect_list("text").alias("more"))
+    joined = held.join(own, "row", "left").select("doc_id", "lang", F.concat("paragraphs", F.coalesce("more", F.array().cast("array<string>"))).alias("paragraphs"), "whole")
+    return parsed.where("size(held) = 0").select("doc_id", "lang", "paragraphs", "whole").unionByName(joined)
 
 
 def _counts(model):
@@ -126,7 +150,7 @@ def _counts(model):
 
 
 def fit_models(documents: DataFrame) -> np.ndarray:
-    """Log-probabilities (slots x languages) of hashed n-grams, fitted on a bounded sample of labelled documents.
+    """Log-probabilities (slots x languages) of hashed n-grams, fitted on a bounded sample of labelled ``written_text``.
 
     Paragraphs that a first model takes for another language than their label are left out of the second and third.
     A language without labelled documents gets no n-grams and is never found.
@@ -134,7 +158,7 @@ def fit_models(documents: DataFrame) -> np.ndarray:
     spark = documents.sparkSession
     labelled = documents.where(F.col("lang").isin(LANGUAGES))
     every = max(1, labelled.count() // SAMPLE_DOCS)
-    sample = written(spread(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("lang", "text")).mapInPandas(_sampled, "lang string, paragraph string"), "langsample")
+    sample = written(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("lang", F.explode("paragraphs").alias("paragraph")), "langsample")
     model = None
     for _ in range(3):
         shared = None if model is None else spark.sparkContext.broadcast(model)
@@ -155,10 +179,11 @@ def _infer(model):
             out = []
             for begin in range(0, len(b), 500):
                 block = b.iloc[begin : begin + 500]
-                per_doc = [mail.written_paragraphs(t) for t in block["text"]]
+                authored = [len(ps) > 0 for ps in block["paragraphs"]]
+                per_doc = [list(ps) if len(ps) else [w] if isinstance(w, str) and _NOT_LETTERS.sub("", w) else [] for ps, w in zip(block["paragraphs"], block["whole"])]
                 ll = likelihoods([p for ps in per_doc for p in ps], table)
                 at = 0
-                for doc_id, label, ps in zip(block["doc_id"], block["lang"], per_doc):
+                for doc_id, label, ps, by_people in zip(block["doc_id"], block["lang"], per_doc, authored):
                     if ps:
                         own = ll[at : at + len(ps)]
                         at += len(ps)
@@ -167,21 +192,23 @@ def _infer(model):
                         used = sorted(set(pick.tolist()))
                         fits = len(used) == 1 and LANGUAGES[chosen[used[0]]] == label
                         for k in used:
-                            out.append((doc_id, label, fits, -1, LANGUAGES[chosen[k]], float(posterior[pick == k, k].max()), float(share[k])))
+                            out.append((doc_id, label, fits, by_people, -1, LANGUAGES[chosen[k]], float(posterior[pick == k, k].max()), float(share[k])))
                         for i, k in enumerate(pick):
-                            out.append((doc_id, label, fits, i, LANGUAGES[chosen[k]], float(posterior[i, k]), float(share[k])))
-            yield pd.DataFrame(out, columns=["doc_id", "label", "label_fits", "segment", "lang", "confidence", "share"])
+                            out.append((doc_id, label, fits, by_people, i, LANGUAGES[chosen[k]], float(posterior[i, k]), float(share[k])))
+            yield pd.DataFrame(out, columns=["doc_id", "label", "label_fits", "written", "segment", "lang", "confidence", "share"])
 
     return run
 
 
 def identify(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
-    """``doc_id, label, label_fits, segment, lang, confidence, share``: the languages of documents and their segments.
+    """``doc_id, label, label_fits, written, segment, lang, confidence, share``: the languages of documents and their segments.
 
     Rows with segment -1 give the languages of the whole document with their shares; the others one language for each
-    written paragraph. ``label_fits`` tells whether the document's set of languages is exactly its label. Documents
-    that are null, empty or hold no written paragraph give no row; repeated rows give rows each.
+    written paragraph. ``label_fits`` tells whether the document's set of languages is exactly its label. A document
+    without a written paragraph is one segment, all its visible text, and has ``written`` false. Documents that are
+    null or have no letters give no row; repeated rows give rows each.
     """
     docs = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
-    model = documents.sparkSession.sparkContext.broadcast(fit_models(docs))
-    return spread(docs).mapInPandas(_infer(model), "doc_id long, label string, label_fits boolean, segment int, lang string, confidence double, share double")
+    texts = written_text(docs)
+    model = documents.sparkSession.sparkContext.broadcast(fit_models(texts))
+    return texts.mapInPandas(_infer(model), "doc_id long, label string, label_fits boolean, written boolean, segment int, lang string, confidence double, share double")

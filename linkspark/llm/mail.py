@@ -10,9 +10,6 @@ import re
 import unicodedata
 from typing import NamedTuple
 
-#: Levels of multipart nesting that are opened.
-MAX_DEPTH = 20
-
 BLOCK_TAG = re.compile(r"</?(?:p|div|tr|table|ul|ol|li|h[1-6]|blockquote|body|html|head|section|article|pre|hr)\b[^>]*>", re.I)
 BREAK_TAG = re.compile(r"<br\b[^>]*>", re.I)
 UNSEEN = re.compile(r"<(script|style|title)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
@@ -86,39 +83,41 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
 
 
 def parts_of(text: str) -> list[Part]:
-    """Leaf parts of a raw message, cut-off ones included; a text without headers is one plain part."""
-    return _parts(text.replace("\r\n", "\n").replace("\r", "\n"), 0)
+    """Leaf parts of a raw message, cut-off ones included, however deep they are nested; a text without headers is one plain part."""
+    out: list[Part] = []
+    waiting = [(MBOX_LINE.sub("", text.replace("\r\n", "\n").replace("\r", "\n")), False)]
+    while waiting:
+        part, nested = waiting.pop()
+        found, inner = _opened(part, nested)
+        out += found
+        waiting += [(p, True) for p in reversed(inner)]
+    return out
 
 
-def _parts(text: str, depth: int) -> list[Part]:
-    if not depth:
-        text = MBOX_LINE.sub("", text)
+def _opened(text: str, nested: bool) -> tuple[list[Part], list[str]]:
+    """The leaf that a part is, or the texts of the parts in it."""
     head, blank, body = text.partition("\n\n")
     if text.startswith("\n"):
         head, body = "", text[1:]
     elif not blank or not HEADER_LINE.match(head):
-        if depth or HEADER_LINE.match(head) and "content-type:" in head.lower():
-            return []
-        return [Part("text/plain", False, text)]
+        if nested or HEADER_LINE.match(head) and "content-type:" in head.lower():
+            return [], []
+        return [Part("text/plain", False, text)], []
     headers = _headers(head)
     content = headers.get("content-type", "text/plain")
     kind = content.split(";")[0].strip().lower()
-    if kind.startswith("multipart/") and depth < MAX_DEPTH:
+    if kind.startswith("multipart/"):
         boundary = _parameter(content, "boundary")
         if boundary:
             pieces = re.split(rf"(?m)^--{re.escape(boundary)}(--)?[ \t]*$\n?", body)
-            out: list[Part] = []
-            for closed, piece in zip(pieces[1::2], pieces[2::2]):
-                if not closed:
-                    out += _parts(piece, depth + 1)
-            return out
-    if kind == "message/rfc822" and depth < MAX_DEPTH:
-        return _parts(_decoded(body, headers.get("content-transfer-encoding", ""), "utf-8"), depth + 1)
+            return [], [piece for closed, piece in zip(pieces[1::2], pieces[2::2]) if not closed]
+    if kind == "message/rfc822":
+        return [], [_decoded(body, headers.get("content-transfer-encoding", ""), "utf-8")]
     disposition = headers.get("content-disposition", "").lower()
     attached = disposition.startswith("attachment") or bool(_parameter(content, "name"))
     if not kind.startswith("text/"):
-        return [Part(kind, attached, "")]
-    return [Part(kind, attached, _decoded(body, headers.get("content-transfer-encoding", ""), _parameter(content, "charset")))]
+        return [Part(kind, attached, "")], []
+    return [Part(kind, attached, _decoded(body, headers.get("content-transfer-encoding", ""), _parameter(content, "charset")))], []
 
 
 def visible(part: Part) -> str:
@@ -150,23 +149,42 @@ SENTENCE_END = re.compile(r"[.?!。…][\"'»”)]*\s*$|[.?!]\s")
 MIN_WORDS = 6
 #: Words from which a paragraph needs no end of a sentence, as where a passage is cut off.
 LONG_WORDS = 12
+#: Labels ("From: ") from which a paragraph with an address is a forwarded header block that was run together.
+FIELD_LABELS = 3
+LABEL = re.compile(r"(?:^|[\s*])[^\W\d_][\w-]{0,20}\**\s?:\s")
+
+
+class Held(NamedTuple):
+    """A paragraph with an address: it is a disclaimer if its text stands in the archive with other addresses, too."""
 
+    text: str  # addresses and domains left out
+    template: str  # its words
+    address: str
 
-def written_paragraphs(text: str) -> list[str]:
-    """Paragraphs somebody wrote, own and quoted, of the body parts of a raw message.
 
-    Left out are headers, attachments, attribution lines, forwarded header blocks, greetings, closings, signatures and
-    disclaimers. Paragraphs of several body parts with one text are given once.
+def paragraphs(text: str) -> tuple[list[str], list[Held]]:
+    """Paragraphs somebody wrote, own and quoted, of the body parts of a raw message, and those that may be disclaimers.
+
+    Left out are headers, attachments, attribution lines, forwarded header blocks, greetings, closings and signatures.
+    Paragraphs of several body parts with one text are given once.
     """
     out: dict[str, None] = {}
+    held: dict[Held, None] = {}
     for part in parts_of(text):
         if part.attached or part.kind not in ("text/plain", "text/html"):
             continue
-        for paragraph in _split(visible(part)):
-            kept = _kept(paragraph)
-            if kept:
+        for lines in _split(visible(part)):
+            kept, addresses = _kept(lines)
+            if kept and addresses:
+                held[Held(kept, " ".join(words(kept)), " ".join(addresses).lower())] = None
+            elif kept:
                 out[kept] = None
-    return list(out)
+    return list(out), list(held)
+
+
+def whole_text(text: str) -> str:
+    """All visible text of the body parts of a raw message."""
+    return "\n".join(visible(p) for p in parts_of(text) if not p.attached and p.kind in ("text/plain", "text/html")).strip()
 
 
 def _split(text: str) -> list[list[str]]:
@@ -189,11 +207,12 @@ def _split(text: str) -> list[list[str]]:
     return [b for b in blocks if b]
 
 
-def _kept(lines: list[str]) -> str:
+def _kept(lines: list[str]) -> tuple[str, list[str]]:
+    """(the paragraph without addresses, or "" if nobody wrote it, its addresses)."""
     at = 0
     if RULE.match(lines[0]):  # of a forwarded message or a signature
         if DELIMITER.match(lines[0]) and not (len(lines) > 1 and FIELD_LINE.match(lines[1])):
-            return ""
+            return "", []
         at = 1
     fields = at
     while fields < len(lines) and FIELD_LINE.match(lines[fields]) and len(lines[fields]) < 200:
@@ -201,19 +220,22 @@ def _kept(lines: list[str]) -> str:
     if fields - at >= 2:
         at = fields
     elif at:
-        return ""
+        return "", []
     body = []
     for line in lines[at:]:
         if DELIMITER.match(line):
             break
         body.append(line.strip())
     paragraph = " ".join(body)
-    if ADDRESS.search(paragraph) or DOMAIN.search(paragraph):
-        return ""
+    addresses = ADDRESS.findall(paragraph) + DOMAIN.findall(ADDRESS.sub(" ", paragraph))
+    if addresses:
+        if len(LABEL.findall(paragraph)) >= FIELD_LABELS:
+            return "", []
+        paragraph = " ".join(DOMAIN.sub(" ", ADDRESS.sub(" ", paragraph)).split())
     if paragraph.rstrip().endswith(":"):
-        return ""
+        return "", []
     if len(WORD.findall(paragraph)) < MIN_WORDS:
-        return ""
+        return "", []
     if not SENTENCE_END.search(paragraph) and len(LETTERS.findall(paragraph)) < LONG_WORDS:
-        return ""
-    return paragraph
+        return "", []
+    return paragraph, addresses

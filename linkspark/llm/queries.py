@@ -126,7 +126,7 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _languages(spark, d).where("segment = -1 and not label_fits").select("doc_id", "lang")
+    return _languages(spark, d).where("segment = -1 and written and not label_fits").select("doc_id", "lang")
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
-    return _languages(spark, d).where("segment = -1").select("doc_id", "lang", "confidence", "share", "label", "label_fits")
+    return _languages(spark, d).where("segment = -1").select("doc_id", "lang", "confidence", "share", "label", "label_fits", "written")
 
 
 @query

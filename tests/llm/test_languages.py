@@ -37,10 +37,19 @@ def test_sets_of_mixed_documents(spark):
         (1006, None, "en"), (1007, "", "en"), (1008, mail(), None), (1004, mail(s["fr"][0]), "fr"), (1009, mail(*(s["en"] * 3000)), "en"),
     ]
     got = languages.identify(frame(spark, corpus() + asked)).where("doc_id >= 1000").collect()
-    found = sorted({(r.doc_id, r.lang) for r in got if r.segment == -1 and not r.label_fits})
+    found = sorted({(r.doc_id, r.lang) for r in got if r.segment == -1 and r.written and not r.label_fits})
     assert found == [(1000, "de"), (1000, "en"), (1001, "pt"), (1002, "es"), (1003, "ru"), (1005, "es"), (1005, "fr"), (1005, "ru")]
     assert [r.lang for r in sorted((r for r in got if r.doc_id == 1000 and r.segment >= 0), key=lambda r: r.segment)] == ["en", "de"]
-    assert all(0 < r.confidence <= 1 for r in got) and not [r for r in got if r.doc_id in (1006, 1007, 1008)]
+    assert all(0 < r.confidence <= 1 for r in got) and not [r for r in got if r.doc_id in (1006, 1007)]
+    assert {r.written for r in got if r.doc_id == 1008} == {False}  # nobody wrote a paragraph; its words have a language all the same
+
+
+def test_paragraphs_with_addresses_count_unless_they_are_disclaimers(spark):
+    s = SENTENCES
+    asked = [(1000 + k, mail(s["en"][k % 3], f"Diese Nachricht von haus{k}.example ist vertraulich. Wenn Sie nicht der richtige Empfänger sind, so löschen Sie diese bitte sofort."), "en") for k in range(5)]
+    asked.append((1100, mail(s["en"][0], "Bitte schicken Sie die fehlende Rechnung zusammen mit dem Heft noch heute an archiv@klang.example, damit wir das Gerät nicht vergessen."), "en"))
+    got = languages.identify(frame(spark, corpus() + asked)).where("doc_id >= 1000 and segment = -1").collect()
+    assert {r.doc_id: {x.lang for x in got if x.doc_id == r.doc_id} for r in got} == {**{1000 + k: {"en"} for k in range(5)}, 1100: {"en", "de"}}
 
 
 def test_empty_table(spark):

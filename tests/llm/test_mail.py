@@ -43,4 +43,17 @@ def test_written_paragraphs():
         "On Thu, 18 Jan 2024 05:10:53 -0800, Edith <e@x.example> wrote:\n\n> As far as I can see, the booklet does not\nmatch the number on\n> the list.\n\n> Cheers\n> Edith\n\n"
         "-----Original Message-----\nFrom: Zoe <z@x.example>\nSent: Fri, 01 Sep 2023\nTo: Jon\nSubject: Re: it\n\nNous avons encore vérifié la facture, mais nous ne la trouvons toujours pas.\n"
     )
-    assert mail.written_paragraphs(message("Content-Type: text/plain\n\n" + text)) == [BODY, "As far as I can see, the booklet does not match the number on the list.", "Nous avons encore vérifié la facture, mais nous ne la trouvons toujours pas."]
+    assert mail.paragraphs(message("Content-Type: text/plain\n\n" + text))[0] == [BODY, "As far as I can see, the booklet does not match the number on the list.", "Nous avons encore vérifié la facture, mais nous ne la trouvons toujours pas."]
+
+
+def test_paragraphs_with_addresses_are_kept_aside():
+    body = "Bitte schicken Sie die Noten noch vor dem Wochenende an archiv@klang.example, denn dort werden sie gebraucht."
+    kept, held = mail.paragraphs(message("Content-Type: text/plain\n\nHallo Anna,\n\n" + body + "\n\nFrom: A <a@b.example> Sent: Mon To: B <b@c.example> Subject: Re: x\n"))
+    assert kept == [] and [h.address for h in held] == ["archiv@klang.example"] and "klang" not in held[0].text and held[0].text.startswith("Bitte schicken")
+
+
+def test_deep_nesting_is_opened():
+    text = "Content-Type: text/plain\n\nDer innerste Teil dieser Nachricht steht sehr tief.\n"
+    for k in range(300):
+        text = f"Content-Type: multipart/mixed; boundary=b{k}x\n\n--b{k}x\n{text}\n--b{k}x--\n"
+    assert [p.text.strip() for p in mail.parts_of(text)] == ["Der innerste Teil dieser Nachricht steht sehr tief."]
