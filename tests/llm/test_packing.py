@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from linkspark.llm import packing
@@ -81,3 +82,31 @@ def test_all_words_of_a_long_seed_count():
     counts = [np.ones(len(s), dtype=np.int32) for s in slots]
     index = packing.ShardIndex(slots, counts, np.linspace(1, 2, packing.SLOTS).astype(np.float32), 2.0)
     assert (index.scores(0, 201) > 0).all()
+
+
+@pytest.mark.parametrize("sizes", [[], [1], [1500], [1501], [1900, 2000], [700] * 9, [10_000]])
+def test_shards_cut_without_losing_rows(sizes):
+    at, batches = 0, []
+    for n in sizes:
+        batches.append(pd.DataFrame({"doc_id": range(at, at + n), "slots": [[1, 2]] * n}))
+        at += n
+    shards = list(packing.shards_of(iter(batches)))
+    assert [i for s in shards for i in s["doc_id"]] == list(range(at)) and all(len(s) <= 1.3 * packing.SHARD_DOCS for s in shards)
+    assert len(shards) <= at / packing.SHARD_DOCS + 1.5
+
+
+def test_many_words_make_a_shard_smaller(monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_WORDS", 100)
+    shards = list(packing.shards_of(iter([pd.DataFrame({"doc_id": range(10), "slots": [list(range(60))] * 10})])))
+    assert [len(s) for s in shards] == [1] * 10
+
+
+def test_documents_of_one_subject_share_a_shard(spark, monkeypatch):
+    rng = random.Random(7)
+    subjects = [[f"w{s}x{k}" for k in range(30)] for s in range(24)]
+    docs = [(i, " ".join(rng.choice(subjects[i % 24]) for _ in range(40))) for i in range(4800)]
+    rows = packing.pack(*frames(spark, docs, [(1, 2000)])).collect()
+    shard = {r.doc_id: r.container_id >> 40 for r in rows}
+    assert len(set(shard.values())) > 1
+    together = [max(np.bincount([shard[i] for i in range(s, 4800, 24)])) / 200 for s in range(24)]
+    assert np.mean(together) > 0.6  # subjects that a boundary cuts have two shards; by chance it would be 0.3
