@@ -8,6 +8,7 @@ member, which is joined back to its members.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -174,13 +175,15 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     def plain(c: str) -> F.Column:
         return F.translate(F.regexp_replace(c, r"[\p{Cf}]", ""), sources, targets)
 
-    formed.select("value", "n", "form", plain("value").alias("mapped"), _squashed(plain("form")).alias("shape"), _squashed("form").alias("reading")).createOrReplaceTempView("lookalike_forms")
-    classes = spark.sql("""
+    view = f"lookalike_forms_{uuid.uuid4().hex}"
+    formed.select("value", "n", "form", plain("value").alias("mapped"), _squashed(plain("form")).alias("shape"), _squashed("form").alias("reading")).createTempView(view)
+    classes = spark.sql(f"""
         WITH readings AS (
             SELECT mapped COLLATE UNICODE_CI AS class, shape, reading, sum(n) AS m, min_by(value, struct(-n, value)) FILTER (WHERE value = form) AS member
-            FROM lookalike_forms GROUP BY mapped COLLATE UNICODE_CI, shape, reading)
+            FROM {view} GROUP BY mapped COLLATE UNICODE_CI, shape, reading)
         SELECT class, shape, min_by(member, struct(-m, member)) AS canonical FROM readings WHERE member IS NOT NULL GROUP BY class, shape""")
-    members = spark.sql("SELECT value, form, shape, mapped COLLATE UNICODE_CI AS class FROM lookalike_forms")
+    members = spark.sql(f"SELECT value, form, shape, mapped COLLATE UNICODE_CI AS class FROM {view}")
+    spark.catalog.dropTempView(view)  # the plans above keep what they read
     joined = members.join(classes, ["class", "shape"], "left")
     chosen = F.when(_squashed("canonical") != _squashed("value"), F.col("canonical")).otherwise(F.col("form"))
     return joined.select("value", "form", chosen.alias("canonical")).where(_squashed("value") != _squashed("canonical"))
