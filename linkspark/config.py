@@ -6,6 +6,8 @@ import tomllib
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 from pathlib import Path
 
+from linkspark.functions.template import ALBUM_FORMAT, COMPILATION_FORMAT
+
 
 @dataclass(frozen=True)
 class TrackWeights:
@@ -47,7 +49,16 @@ class Lookup:
 @dataclass(frozen=True)
 class Paths:
     library: str = "~/Music"
-    album_format: str = "{{album_artist}}/{{album_year}} - {{album_title}}/{{disc_number}}-{{zfill track_number width=track_number_width}} - {{track_title}}"
+    album_format: str = ALBUM_FORMAT
+    compilation_format: str = COMPILATION_FORMAT
+
+
+@dataclass(frozen=True)
+class Analyzers:
+    """Parallel jobs, 0 for one a core, and the analyzers that run, in order."""
+
+    num_parallel_jobs: int = 0
+    enabled: list[str] = field(default_factory=lambda: ["track_length", "chromaprint_fingerprint", "ebu_r128"])
 
 
 @dataclass(frozen=True)
@@ -55,7 +66,7 @@ class Config:
     weights: Weights = field(default_factory=Weights)
     lookup: Lookup = field(default_factory=Lookup)
     paths: Paths = field(default_factory=Paths)
-    num_parallel_jobs: int = 0
+    analyzers: Analyzers = field(default_factory=Analyzers)
     auto_select_distance: float = 0.05
 
     def __post_init__(self) -> None:

@@ -100,3 +100,5 @@ def formatted_path(template: str, values: dict[str, Column], extension: Column,
 
 #: Fixed value: default template of album paths. The disc number is not padded, as its helper has no width there.
 ALBUM_FORMAT = "{{album_artist}}/{{#if year}}{{zfill year width=4}} - {{/if}}{{album_title}}/{{#if disc_number}}{{zfill disc_number number=disc_count_width}}-{{/if}}{{zfill track_index width=track_count_width}} - {{track_title}}"
+#: Fixed value: default template of paths of compilations.
+COMPILATION_FORMAT = "{{album_artist}}/{{#if year}}{{zfill year width=4}} - {{/if}}{{album_title}}/{{#if disc_index}}{{zfill disc_index width=disc_count_width}}-{{/if}}{{zfill track_index width=track_count_width}} - {{artist_credit}} - {{track_title}}"

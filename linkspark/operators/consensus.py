@@ -80,3 +80,13 @@ def any_of(flag: Column) -> Column:
 
 def all_of(flag: Column) -> Column:
     return F.coalesce(F.bool_and(flag), F.lit(True))
+
+
+def item_counts(df: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """keys, items, parts: distinct items of a collection and the parts they stand in; ``place`` is part, then item."""
+    return df.select(*keys, *place).distinct().groupBy(*keys).agg(F.count("*").alias("items"), F.count_distinct(place[0]).alias("parts"))
+
+
+def missing_from(have: Column, wanted: Column) -> Column:
+    """Elements of ``wanted`` that the array ``have`` lacks, in order, each once."""
+    return F.array_except(wanted, have)

@@ -54,9 +54,14 @@ def q_adapter_media(spark: SparkSession, d: str) -> DataFrame:
     return adapters.media_of_entity(_entities(spark, d), "release_id", "e").select("release_id", "media_idx", "disc_number", "media_format", F.when(F.col("track_count") >= 0, F.col("track_count")).alias("track_count"))
 
 
-@query
+@query(sql=f"""
+WITH t AS (SELECT DISTINCT ON (track_id) *, original_release_date AS d FROM tracks JOIN (SELECT DISTINCT release_id, media_idx FROM media) USING (release_id, media_idx)),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY release_id ORDER BY media_idx) - 1 AS m, row_number() OVER (PARTITION BY release_id ORDER BY media_idx, track_idx) - 1 AS position, row_number() OVER (PARTITION BY release_id, media_idx ORDER BY track_idx) - 1 AS i FROM t),
+x AS (SELECT release_id, list(DISTINCT media_idx ORDER BY media_idx) AS l FROM media GROUP BY 1)
+SELECT release_id, CAST(list_position(x.l, media_idx) - 1 AS INTEGER) AS media_idx, CAST(i AS INTEGER) AS track_idx, CAST(position AS INTEGER) AS position, track_title, coalesce(track_artist, '') AS track_artist, coalesce(track_artist_sort_order, '') AS track_artist_sort_order, track_number,
+    track_length[1] * 1000 AS length_ms, musicbrainz_track_id, musicbrainz_recording_id, strftime({PARTIAL_SQL}, '%Y-%m-%d') AS original_release_date, strftime({PARTIAL_SQL}, '%Y') AS original_release_year, genre, isrc, coalesce(producer, []) AS producer FROM o JOIN x USING (release_id)""")
 def q_adapter_tracks(spark: SparkSession, d: str) -> DataFrame:
-    return adapters.tracks_of_entity(_entities(spark, d), "release_id", "e").select("release_id", "media_idx", "track_idx", "position", "track_title", "track_artist", "track_number", "length_ms", "musicbrainz_recording_id", "original_release_year", "genre", "producer")
+    return adapters.tracks_of_entity(_entities(spark, d), "release_id", "e").select("release_id", "media_idx", "track_idx", "position", "track_title", "track_artist", "track_artist_sort_order", "track_number", "length_ms", "musicbrainz_track_id", "musicbrainz_recording_id", "original_release_date", "original_release_year", "genre", "isrc", "producer")
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:

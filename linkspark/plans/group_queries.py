@@ -187,12 +187,12 @@ WITH t AS (SELECT release_id, max(media_idx) AS m FROM tracks GROUP BY 1), s AS
 SELECT release_id, list_sort(list_filter(range(10), lambda x: NOT list_contains(list_transform(have, lambda h: CAST(h AS BIGINT)), x))) AS missing FROM s""")
 def q_set_difference(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "tracks").groupBy("release_id").agg(F.collect_set(F.col("media_idx").cast("bigint")).alias("have"))
-    return s.select("release_id", F.array_except(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")), F.col("have")).alias("missing"))
+    return s.select("release_id", A.missing_from(F.col("have"), F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint"))).alias("missing"))
 
 
 @query(sql="SELECT release_id, CAST(count(*) AS BIGINT) AS tracks, CAST(count(DISTINCT media_idx) AS BIGINT) AS media FROM (SELECT DISTINCT release_id, media_idx, track_idx FROM tracks) GROUP BY release_id")
 def q_track_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tracks").select("release_id", "media_idx", "track_idx").distinct().groupBy("release_id").agg(F.count("*").alias("tracks"), F.count_distinct("media_idx").alias("media"))
+    return A.item_counts(table(spark, d, "tracks"), ["release_id"], ["media_idx", "track_idx"]).withColumnsRenamed({"items": "tracks", "parts": "media"})
 
 
 @query(sql="""

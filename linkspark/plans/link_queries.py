@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import distance as M
 from linkspark.functions import temporal as T
 from linkspark.functions import text as X
-from linkspark.operators import assign, blocking, rank
+from linkspark.operators import assign, blocking, consensus, rank
 from linkspark.plans.registry import query
 from linkspark.plans.text_queries import sql_ascii, sql_distance, sql_normalize
 from linkspark.runtime import spread, table
@@ -44,45 +44,82 @@ def q_similarity_pct(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql=f"""
-WITH {PARTS_SQL}, n AS (SELECT * FROM s WHERE distance < 0.02)
+WITH {PARTS_SQL}, n AS (SELECT * FROM s WHERE distance < 0.1)
 SELECT left_key, right_key, distance, CASE WHEN count(*) OVER (PARTITION BY left_key) = 1 AND distance <= 0.05 THEN 'auto_select' ELSE 'needs_review' END AS decision FROM n""")
 def q_auto_select(spark: SparkSession, d: str) -> DataFrame:
-    return rank.auto_selected(parts_scored(spark, d).where("distance < 0.02"), "left_key", "distance")
+    return rank.auto_selected(parts_scored(spark, d).where("distance < 0.1"), "left_key", "distance")
 
 
 @query(sql=f"""
-WITH {PARTS_SQL}, u AS (SELECT left_key, right_key, distance FROM r WHERE rank <= 3 UNION ALL SELECT left_key, right_key, distance + 0.1 FROM s WHERE right_key % 10 = 0)
+WITH {PARTS_SQL}, u AS (SELECT left_key, right_key, distance FROM r WHERE rank <= 3 UNION ALL SELECT left_key, right_key, distance + 0.1 FROM s)
 SELECT left_key, right_key, min(distance) AS distance FROM u GROUP BY 1, 2""")
 def q_dedupe_union(spark: SparkSession, d: str) -> DataFrame:
     s = parts_scored(spark, d)
-    more = s.where("right_key % 10 = 0").withColumn("distance", F.col("distance") + 0.1)
+    more = s.withColumn("distance", F.col("distance") + 0.1)
     return rank.extended(rank.top_k(s, "left_key", "distance", "right_key", 3), more, "left_key", "right_key", "distance")
 
 
+VARIOUS = "various artists"
+
+
+def _releases(spark: SparkSession, d: str) -> DataFrame:
+    """Releases with their number of tracks and the formats of their media."""
+    r = table(spark, d, "releases")
+    counts = consensus.item_counts(table(spark, d, "tracks"), ["release_id"], ["media_idx", "track_idx"]).select("release_id", F.col("items").alias("track_count"))
+    media = table(spark, d, "media").select("release_id", "media_idx", "media_format").distinct()
+    formats = consensus.format_runs(consensus.run_lengths(media, ["release_id"], "media_format", "media_idx"), ["release_id"]).withColumnRenamed("format", "media_format")
+    return r.join(counts, "release_id", "left").join(formats, "release_id", "left")
+
+
 def _clauses() -> dict[str, tuple[Column, Column]]:
-    def title(c: str) -> Column:
-        return F.array(X.strip_non_ascii(X.normalize(F.col(c))))
+    """Title, artist and number of tracks; a compilation also asks for the artist that stands for several."""
+    title, artist = F.trim(X.normalize(F.col("release_title"))), X.normalize(F.col("release_artist"))
+    several = F.when(F.col("is_compilation"), F.array(F.trim(artist), F.lit(VARIOUS))).otherwise(X.split_artists(artist))
+    theirs = F.concat(X.split_artists(artist), F.array(F.trim(artist)))
+    theirs = F.when(X.is_various_artists(F.col("release_artist")), F.array(F.lit(VARIOUS))).otherwise(theirs)
+    count = F.array(F.col("track_count").cast("string"))
+    return {"title": (F.array(title), F.array(title)), "artist": (F.coalesce(several, F.when(F.col("is_compilation"), F.array(F.lit(VARIOUS)))), theirs), "tracks": (count, count)}
+
 
-    return {
-        "title": (title("release_title"), title("release_title")),
-        "artist": (X.split_artists(X.normalize(F.col("release_artist"))), X.split_artists(X.normalize(F.col("release_artist")))),
-        "tracks": (F.array(F.concat_ws("|", "record_label", "release_date")), F.array(F.concat_ws("|", "record_label", "release_date"))),
-    }
+def _split_sql(c: str) -> str:
+    return f"list_transform(regexp_split_to_array({sql_normalize(c)}, '[,&/]'), lambda x: trim(x, ' '))"
 
 
 BLOCK_SQL = f"""
-c AS (
-    SELECT DISTINCT release_id, catalogue_id, 'title' AS clause FROM releases a JOIN catalogue_releases b ON {sql_ascii(sql_normalize('a.release_title'))} = {sql_ascii(sql_normalize('b.release_title'))}
-    UNION ALL SELECT DISTINCT release_id, catalogue_id, 'artist' FROM (SELECT release_id, unnest(list_transform(regexp_split_to_array({sql_normalize('release_artist')}, '[,&/]'), lambda x: trim(x, ' '))) AS k FROM releases) a
-        JOIN (SELECT catalogue_id, unnest(list_transform(regexp_split_to_array({sql_normalize('release_artist')}, '[,&/]'), lambda x: trim(x, ' '))) AS k FROM catalogue_releases) b USING (k)
-    UNION ALL SELECT DISTINCT release_id, catalogue_id, 'tracks' FROM releases a JOIN catalogue_releases b ON concat_ws('|', a.record_label, a.release_date) = concat_ws('|', b.record_label, b.release_date)),
+rc AS (SELECT release_id, CAST(count(*) AS VARCHAR) AS n FROM (SELECT DISTINCT release_id, media_idx, track_idx FROM tracks) GROUP BY 1),
+lk AS (SELECT release_id AS id, 'title' AS clause, trim({sql_normalize('release_title')}, ' ') AS k FROM releases
+    UNION ALL SELECT release_id, 'artist', unnest(CASE WHEN is_compilation THEN [trim({sql_normalize('release_artist')}, ' '), '{VARIOUS}'] ELSE {_split_sql('release_artist')} END) FROM releases
+    UNION ALL SELECT release_id, 'tracks', n FROM rc),
+rk AS (SELECT catalogue_id AS id, 'title' AS clause, trim({sql_normalize('release_title')}, ' ') AS k FROM catalogue_releases
+    UNION ALL SELECT catalogue_id, 'artist', unnest(CASE WHEN lower(release_artist) IN ({', '.join(f"'{v}'" for v in X.VARIOUS_ARTISTS)}) THEN ['{VARIOUS}'] ELSE list_concat({_split_sql('release_artist')}, [trim({sql_normalize('release_artist')}, ' ')]) END) FROM catalogue_releases WHERE release_artist IS NOT NULL
+    UNION ALL SELECT catalogue_id, 'tracks', CAST(track_count AS VARCHAR) FROM catalogue_releases),
+c AS (SELECT DISTINCT a.id AS release_id, b.id AS catalogue_id, clause FROM lk a JOIN rk b USING (clause, k) WHERE k <> ''),
 n AS (SELECT release_id, catalogue_id, count(*) AS clauses FROM c GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY clauses DESC, catalogue_id) AS rank FROM n)"""
 
 
 @query(sql=f"WITH {BLOCK_SQL} SELECT release_id, catalogue_id, clauses, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
 def q_blocking_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.candidates(table(spark, d, "releases"), table(spark, d, "catalogue_releases"), "release_id", "catalogue_id", _clauses())
+    return blocking.candidates(_releases(spark, d), table(spark, d, "catalogue_releases"), "release_id", "catalogue_id", _clauses())
+
+
+@query(sql=f"WITH {BLOCK_SQL} SELECT release_id, catalogue_id, clauses, CAST(rank AS INTEGER) AS rank FROM k WHERE rank BETWEEN 4 AND 6")
+def q_blocking_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of three candidates."""
+    return blocking.candidates(_releases(spark, d), table(spark, d, "catalogue_releases"), "release_id", "catalogue_id", _clauses(), 3, 3)
+
+
+@query(sql="""
+WITH f AS (SELECT a.release_id AS key, b.release_id AS candidate FROM releases a JOIN releases b ON a.barcode = b.barcode WHERE a.barcode <> '' AND a.barcode <> '0000000000000'),
+g AS (SELECT release_id, musicbrainz_release_group_id AS grp FROM releases WHERE musicbrainz_release_group_id <> ''),
+o AS (SELECT DISTINCT f.key, g.grp FROM f JOIN g ON g.release_id = f.candidate)
+SELECT key, candidate, min(found_by) AS found_by FROM (SELECT key, candidate, 'found' AS found_by FROM f UNION ALL SELECT o.key, g.release_id, 'group' FROM o JOIN g USING (grp)) GROUP BY 1, 2""")
+def q_group_extension(spark: SparkSession, d: str) -> DataFrame:
+    """Releases found by their barcode, and those of the same release groups."""
+    r = table(spark, d, "releases")
+    coded = r.where("barcode <> '' and barcode <> '0000000000000'")
+    found = coded.select(F.col("release_id").alias("key"), "barcode").join(coded.select(F.col("release_id").alias("candidate"), "barcode"), "barcode").drop("barcode")
+    return blocking.group_extended(found, r.select(F.col("release_id").alias("candidate"), "musicbrainz_release_group_id"), "key", "candidate", "musicbrainz_release_group_id")
 
 
 @query(sql="""
@@ -128,32 +165,98 @@ def q_track_total_distance(spark: SparkSession, d: str) -> DataFrame:
     return j.select(F.col("a.track_id").alias("left_id"), F.col("b.track_id").alias("right_id"), F.round(M.track_distance(diffs), 6).alias("distance"), X.change_list(title_same, zero["number"], zero["length"], zero["recording_id"]).alias("changes"))
 
 
-RELEASE_KEYS = {"title": "release_title", "artist": "release_artist", "label": "record_label", "catalog_number": "catalog_number", "barcode": "barcode"}
+RELEASE_KEYS = {"title": "release_title", "artist": "release_artist", "media_format": "media_format", "label": "record_label", "catalog_number": "catalog_number", "barcode": "barcode"}
+TEXT_WEIGHTS = {"artist": 3, "media_format": 1, "label": 0.5, "catalog_number": 0.5, "barcode": 0.5}
+
+FORMAT_SQL = """
+mo AS (SELECT DISTINCT release_id, media_idx, media_format AS v FROM media), ml AS (SELECT *, lag(v) OVER w AS p, row_number() OVER w AS i FROM mo WINDOW w AS (PARTITION BY release_id ORDER BY media_idx)),
+mr AS (SELECT release_id, v, sum(CASE WHEN i = 1 OR v IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY release_id ORDER BY media_idx) AS run FROM ml),
+mg AS (SELECT release_id, run, any_value(v) AS v, count(*) AS n FROM mr GROUP BY 1, 2),
+mf AS (SELECT release_id, string_agg(CASE WHEN n > 1 THEN n || '×' || v ELSE v END, '+' ORDER BY run) AS media_format FROM mg GROUP BY release_id)"""
+
+
+def _texts_sql(rows: str) -> str:
+    return ", ".join(f"{sql_ascii(sql_normalize(c))} AS {k}" for k, c in RELEASE_KEYS.items()) + f", musicbrainz_release_id AS rid FROM {rows}"
 
 
-def _release_sql() -> str:
-    cols = ", ".join(f"{sql_ascii(sql_normalize(c))} AS {k}" for k, c in RELEASE_KEYS.items())
-    weights = {"artist": 3, "label": 0.5, "catalog_number": 0.5, "barcode": 0.5}
+def _distance_sql() -> str:
+    """The distance of releases a and b of ``_texts_sql``."""
     parts = {k: sql_distance(f"a.{k}", f"b.{k}") for k in RELEASE_KEYS}
     present = {k: f"(a.{k} IS NOT NULL AND b.{k} IS NOT NULL)" for k in RELEASE_KEYS}
     title = f"CASE WHEN a.title IS NULL AND b.title IS NULL THEN 0 WHEN a.title IS NULL OR b.title IS NULL THEN 1 ELSE {parts['title']} END"
-    top = " + ".join([f"3 * ({title})", *(f"CASE WHEN {present[k]} THEN {w}::DOUBLE * ({parts[k]}) ELSE 0 END" for k, w in weights.items())])
-    low = " + ".join(["3", *(f"CASE WHEN {present[k]} THEN {w}::DOUBLE ELSE 0 END" for k, w in weights.items())])
-    return f"""
-WITH {BLOCK_SQL}, l AS (SELECT release_id, musicbrainz_release_id AS rid, {cols} FROM releases), r AS (SELECT catalogue_id, {cols} FROM catalogue_releases)
-SELECT k.release_id, k.catalogue_id, round(({top}) / ({low}), 6) AS distance FROM k JOIN l a ON a.release_id = k.release_id JOIN r b ON b.catalogue_id = k.catalogue_id WHERE k.rank <= 5"""
+    known = "(a.rid IS NOT NULL AND b.rid IS NOT NULL)"
+    same = f"CASE WHEN {known} AND NOT (trim(a.rid) = trim(b.rid) AND trim(a.rid) <> '') THEN 5::DOUBLE ELSE 0 END"
+    top = " + ".join([f"3 * ({title})", *(f"CASE WHEN {present[k]} THEN {w}::DOUBLE * ({parts[k]}) ELSE 0 END" for k, w in TEXT_WEIGHTS.items()), same])
+    low = " + ".join(["3", *(f"CASE WHEN {present[k]} THEN {w}::DOUBLE ELSE 0 END" for k, w in TEXT_WEIGHTS.items()), f"CASE WHEN {known} THEN 5 ELSE 0 END"])
+    return f"round(({top}) / ({low}), 6)"
 
 
-@query(sql=_release_sql())
-def q_release_total_distance(spark: SparkSession, d: str) -> DataFrame:
-    rel, cat = table(spark, d, "releases"), table(spark, d, "catalogue_releases")
-    top = blocking.candidates(rel, cat, "release_id", "catalogue_id", _clauses())
-    a = rel.select("release_id", *[_norm(c).alias(k) for k, c in RELEASE_KEYS.items()], F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("media_format"))
-    b = cat.select("catalogue_id", *[_norm(c).alias(k) for k, c in RELEASE_KEYS.items()], F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("media_format"))
-    j = top.join(a.alias("a"), "release_id").join(b.alias("b"), "catalogue_id")
-    names = ("title", "artist", "id", "media_format", "label", "catalog_number", "barcode")
+def _scored_releases(pairs: DataFrame, left: DataFrame, left_id: str, right: DataFrame, right_id: str, assigned: DataFrame | None = None) -> DataFrame:
+    """The pairs with ``distance``; ``assigned`` gives the distance and the number of tracks of the best assignment."""
+
+    def texts(df: DataFrame, id_col: str, name: str) -> DataFrame:
+        rid = F.col("musicbrainz_release_id") if "musicbrainz_release_id" in df.columns else F.lit(None).cast("string")
+        return df.select(F.col(id_col).alias(name), *[_norm(c).alias(k) for k, c in RELEASE_KEYS.items()], rid.alias("id"))
+
+    first, second = pairs.columns
+    j = pairs.join(texts(left, left_id, first).alias("a"), first).join(texts(right, right_id, second).alias("b"), second)
+    names = (*RELEASE_KEYS, "id")
     diffs = M.release_differences({k: F.col(f"a.{k}") for k in names}, {k: F.col(f"b.{k}") for k in names})
-    return j.select("release_id", "catalogue_id", F.round(M.release_distance(diffs), 6).alias("distance"))
+    tracks = None
+    if assigned is not None:
+        j = j.join(assigned, [first, second], "left")
+        tracks = (F.col("assignment_distance"), F.coalesce("assignment_tracks", F.lit(0)).cast("double"))
+    return j.withColumn("distance", F.round(M.release_distance(diffs, tracks), 6)).select(first, second, "distance")
+
+
+SCORED_SQL = f"""
+WITH {BLOCK_SQL}, {FORMAT_SQL}, l AS (SELECT release_id, {_texts_sql('releases LEFT JOIN mf USING (release_id)')}), r AS (SELECT catalogue_id, {_texts_sql('(SELECT *, NULL::VARCHAR AS musicbrainz_release_id FROM catalogue_releases)')})
+SELECT k.release_id, k.catalogue_id, {_distance_sql()} AS distance FROM k JOIN l a ON a.release_id = k.release_id JOIN r b ON b.catalogue_id = k.catalogue_id WHERE k.rank <= 5"""
+
+
+@query(sql=SCORED_SQL)
+def q_release_total_distance(spark: SparkSession, d: str) -> DataFrame:
+    rel, cat = _releases(spark, d), table(spark, d, "catalogue_releases")
+    top = blocking.candidates(rel, cat, "release_id", "catalogue_id", _clauses()).select("release_id", "catalogue_id")
+    return _scored_releases(top, rel, "release_id", cat, "catalogue_id")
+
+
+def _reimports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Releases, and pairs of neighbouring imports of one title and artist."""
+    rel = _releases(spark, d)
+    w = Window.partitionBy(_norm("release_title"), _norm("release_artist")).orderBy("release_id")
+    pairs = rel.where("release_title <> '' and release_artist <> ''").select(F.col("release_id").alias("left_id"), F.lead("release_id").over(w).alias("right_id")).where("right_id is not null")
+    return rel, pairs
+
+
+REIMPORT_SQL = f"i AS (SELECT release_id AS left_id, lead(release_id) OVER (PARTITION BY {sql_ascii(sql_normalize('release_title'))}, {sql_ascii(sql_normalize('release_artist'))} ORDER BY release_id) AS right_id FROM releases WHERE release_title <> '' AND release_artist <> '')"
+
+
+@query(sql=f"""
+WITH {FORMAT_SQL}, {REIMPORT_SQL}, l AS (SELECT release_id, {_texts_sql('releases LEFT JOIN mf USING (release_id)')})
+SELECT left_id, right_id, {_distance_sql()} AS distance FROM i JOIN l a ON a.release_id = left_id JOIN l b ON b.release_id = right_id""")
+def q_reimport_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of neighbouring imports of a release, with ids and formats on both sides, but without tracks."""
+    rel, pairs = _reimports(spark, d)
+    return _scored_releases(pairs, rel, "release_id", rel, "release_id")
+
+
+@query
+def q_reimport_distance_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all eight terms: the best assignment of the tracks of both counts by their number."""
+    rel, pairs = _reimports(spark, d)
+    t = _track_view(spark, d).groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("media_idx", "track_idx", "title", "artist", "number", "length", "recording_id"))).alias("tracks"))
+    j = pairs.join(t.select(F.col("release_id").alias("left_id"), F.col("tracks").alias("l")), "left_id").join(t.select(F.col("release_id").alias("right_id"), F.col("tracks").alias("r")), "right_id")
+
+    def distance(x: Column, y: Column) -> Column:
+        fields = ("title", "artist", "number", "length", "recording_id")
+        return M.track_distance(M.track_differences({f: x[f] for f in fields}, {f: y[f] for f in fields}))
+
+    a = F.col("a")
+    matched, spare = F.size(a["cost"]), F.size(a["unmatched"])
+    solved = assign.assignment(j, ["left_id", "right_id"], "l", "r", distance)
+    assigned = solved.select("left_id", "right_id", M.assignment_distance(matched, spare, assign.matched_mean(a)).alias("assignment_distance"), (matched + spare).alias("assignment_tracks"))
+    return _scored_releases(pairs, rel, "release_id", rel, "release_id", assigned)
 
 
 def _assigned(spark: SparkSession, d: str, size: str) -> DataFrame:

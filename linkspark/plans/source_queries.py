@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from linkspark.functions import text as X
 from linkspark.operators import analyzers
+from linkspark.plans import link_queries
 from linkspark.plans.registry import query
+from linkspark.plans.text_queries import sql_escape
 from linkspark.runtime import shared_path, table
 from linkspark.sources import cache, files, snapshots, tags
 from linkspark.streaming import imports
@@ -65,6 +67,7 @@ def q_cache_round_trip(spark: SparkSession, d: str) -> DataFrame:
     now = F.current_timestamp()
     p = table(spark, d, "part").withColumn("key", F.col("p_partkey").cast("string"))
     item = F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    cache.write(p, path, "release", "key", item, now - F.expr("interval 15 days"))
     cache.write(p.where("p_partkey % 2 = 0"), path, "release", "key", item, now)
     cache.write(p.where("p_partkey % 2 = 1"), path, "search", "key", item, now - F.expr("interval 15 days"))
     got = cache.read(spark, path, "struct<name:string,size:int>", now)
@@ -151,9 +154,11 @@ def q_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", X.base64_url(F.col("fingerprint")).alias("fingerprint"))
 
 
-@query
+@query(sql="""
+WITH s AS (SELECT user_id || '/' || event_type AS key, event_id, abs(value - 10) AS distance FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, event_id) AS rank FROM s)
+SELECT key, event_id, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
 def q_stream_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Events streamed from their files; the three of each user and type with the values nearest to 10, per batch."""
+    """Events streamed from their files; the three of each user and type with the values nearest to 10, over all batches."""
     source = shared_path(spark, "arrivals")
     e = table(spark, d, "events")
     e.repartition(4, "user_id").write.parquet(source)
@@ -162,7 +167,18 @@ def q_stream_topk(spark: SparkSession, d: str) -> DataFrame:
     return imports.best_matches(spark, source, e._jdf.schema().toDDL(), shared_path(spark, "best"), shared_path(spark, "progress"), score, "key", "distance", "event_id", 3)
 
 
-@query
+@query(sql="SELECT vec_id, CAST(len(embedding) * 1000 // 100 AS BIGINT) AS length_ms FROM embeddings")
+def q_track_length(spark: SparkSession, d: str) -> DataFrame:
+    """Length of the embeddings taken as signals of 100 samples a second."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", F.lit(100).alias("rate"))
+    return analyzers.analyze(e, "vec_id", "embedding", "rate", ["track_length"]).select("vec_id", "length_ms")
+
+
+@query(sql=f"""
+WITH s AS ({link_queries.SCORED_SQL}), b AS (SELECT *, row_number() OVER (PARTITION BY release_id ORDER BY distance, catalogue_id) AS rank FROM s)
+SELECT release_id, catalogue_id, distance, CASE WHEN distance <= 0.05 THEN 'auto_select' ELSE 'needs_review' END AS decision, source_path AS src,
+    concat_ws('/', '/library', {sql_escape("coalesce(c.release_artist, '[unknown artist]')")}, {sql_escape("concat_ws(' - ', c.release_year, coalesce(c.release_title, '[unknown album]'))")}) AS dst
+FROM b JOIN releases r USING (release_id) JOIN catalogue_releases c USING (catalogue_id) WHERE rank = 1""")
 def q_import_plan(spark: SparkSession, d: str) -> DataFrame:
     """Dry run of an import: candidates by blocking, best by distance, decision, target path."""
     from linkspark.operators import rank

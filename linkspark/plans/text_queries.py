@@ -57,12 +57,12 @@ def q_transliterate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(sql=f"""
-WITH a AS (SELECT catalogue_id, {sql_ascii(sql_normalize('release_title'))} AS t, barcode AS k FROM catalogue_releases WHERE barcode <> '' AND barcode NOT LIKE '000%'),
+WITH a AS (SELECT catalogue_id, {sql_ascii(sql_normalize('release_title'))} AS t, barcode AS k FROM catalogue_releases WHERE barcode <> '' AND barcode <> '0000000000000'),
 b AS (SELECT release_id, {sql_ascii(sql_normalize('release_title'))} AS t, barcode AS k FROM releases)
 SELECT release_id, catalogue_id, round({sql_distance('b.t', 'a.t')}, 6) AS distance FROM a JOIN b USING (k)""")
 def q_string_distance(spark: SparkSession, d: str) -> DataFrame:
     form = X.strip_non_ascii(X.normalize(F.col("release_title"))).alias("t")
-    a = table(spark, d, "catalogue_releases").where("barcode <> '' and barcode not like '000%'").select("catalogue_id", form.alias("a"), "barcode")
+    a = table(spark, d, "catalogue_releases").where("barcode <> '' and barcode <> '0000000000000'").select("catalogue_id", form.alias("a"), "barcode")
     b = table(spark, d, "releases").select("release_id", form.alias("b"), "barcode")
     return a.join(b, "barcode").select("release_id", "catalogue_id", F.round(X.normalized_distance(F.col("b"), F.col("a")), 6).alias("distance"))
 
@@ -169,17 +169,22 @@ def q_zfill(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.zfill(F.col("l_partkey"), 3).alias("padded"), X.decimal_width(F.col("l_partkey")).alias("digits"))
 
 
-@query(sql="""
+def sql_escape(c: str) -> str:
+    """DuckDB's version of ``escape_path_chars``."""
+    white = X._WHITE[1:-1].replace("\\s", "\\t\\n\\f\\r ")
+    return f"replace(regexp_replace(regexp_replace({c}, '[\\x00-\\x1F\\x{{7F}}-\\x{{9F}}]', '', 'g'), '[{white}]', ' ', 'g'), '/', '_')"
+
+
+@query(sql=f"""
 WITH n AS (SELECT release_id, media_idx, count(*) AS tracks FROM (SELECT DISTINCT release_id, media_idx, track_idx FROM tracks) GROUP BY 1, 2),
-f AS (SELECT DISTINCT t.track_id, t.release_id, t.media_idx, t.track_idx, t.track_title, r.release_title, r.release_artist, r.release_year, n.tracks FROM tracks t JOIN releases r USING (release_id) JOIN n USING (release_id, media_idx)
-    WHERE t.track_title IS NOT NULL AND r.release_title IS NOT NULL AND r.release_artist IS NOT NULL AND NOT regexp_matches(concat(t.track_title, r.release_title, r.release_artist), '[^ -~]')),
-e AS (SELECT track_id, replace(release_artist, '/', '_') AS a, replace(release_title, '/', '_') AS r, replace(track_title, '/', '_') AS t, release_year AS y, CAST(track_idx + 1 AS VARCHAR) AS i, length(CAST(tracks AS VARCHAR)) AS w, CAST(media_idx + 1 AS VARCHAR) AS m FROM f)
+f AS (SELECT DISTINCT t.track_id, t.release_id, t.media_idx, t.track_idx, t.track_title, r.release_title, r.release_artist, r.release_year, n.tracks FROM tracks t JOIN releases r USING (release_id) JOIN n USING (release_id, media_idx) WHERE t.track_title IS NOT NULL AND r.release_title IS NOT NULL AND r.release_artist IS NOT NULL),
+e AS (SELECT track_id, {sql_escape('release_artist')} AS a, {sql_escape('release_title')} AS r, {sql_escape('track_title')} AS t, release_year AS y, CAST(track_idx + 1 AS VARCHAR) AS i, length(CAST(tracks AS VARCHAR)) AS w, CAST(media_idx + 1 AS VARCHAR) AS m FROM f)
 SELECT track_id, a || '/' || CASE WHEN y IS NULL OR y IN ('', '0', 'false') THEN '' ELSE CASE WHEN length(y) >= 4 THEN y ELSE lpad(y, 4, '0') END || ' - ' END || r || '/' || m || '-' || CASE WHEN length(i) >= w THEN i ELSE lpad(i, CAST(w AS INTEGER), '0') END || ' - ' || t || '.flac' AS path FROM e""")
 def q_path_template(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tracks").select("track_id", "release_id", "media_idx", "track_idx", "track_title").distinct()
     n = t.select("release_id", "media_idx", "track_idx").distinct().groupBy("release_id", "media_idx").agg(F.count("*").alias("tracks"))
     r = table(spark, d, "releases").select("release_id", "release_title", "release_artist", "release_year")
-    j = t.join(n, ["release_id", "media_idx"]).join(r, "release_id").where("track_title is not null and release_title is not null and release_artist is not null and concat(track_title, release_title, release_artist) rlike '^[ -~]*\\\\z'")
+    j = t.join(n, ["release_id", "media_idx"]).join(r, "release_id").where("track_title is not null and release_title is not null and release_artist is not null")
     values = {
         "album_artist": F.col("release_artist"), "album_title": F.col("release_title"), "year": F.col("release_year"), "track_title": F.col("track_title"),
         "disc_number": F.col("media_idx") + 1, "disc_count_width": F.lit(1), "track_index": F.col("track_idx") + 1, "track_count_width": X.decimal_width(F.col("tracks")),
@@ -238,7 +243,16 @@ def q_split_artists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "releases").where("release_artist is not null").select("release_artist").distinct().select("release_artist", X.split_artists(F.col("release_artist")).alias("artists"))
 
 
-@query
+def _budget_sql(items: list[str], limit: int) -> str:
+    out, used = "''", "0"
+    ctes = [f"s0 AS (SELECT release_id, CAST('' AS VARCHAR) AS text, {', '.join(items)} FROM releases)"]
+    for i, c in enumerate(items):
+        joined = f"CASE WHEN text = '' THEN {c} ELSE text || ' | ' || {c} END"
+        ctes.append(f"s{i + 1} AS (SELECT * REPLACE (CASE WHEN {c} IS NOT NULL AND octet_length(encode({joined})) <= {limit} THEN {joined} ELSE text END AS text) FROM s{i})")
+    return f"WITH {', '.join(ctes)} SELECT release_id, text AS meta FROM s{len(items)}"
+
+
+@query(sql=_budget_sql(["release_country", "release_year", "record_label", "catalog_number", "barcode"], 40))
 def q_meta_budget_join(spark: SparkSession, d: str) -> DataFrame:
     items = F.array_compact(F.array("release_country", "release_year", "record_label", "catalog_number", "barcode"))
     return table(spark, d, "releases").select("release_id", X.budget_join(items, 40).alias("meta"))
@@ -256,7 +270,7 @@ def q_base64_url(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def q_text_diff(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "catalogue_releases").where("barcode <> '' and barcode not like '000%'").select("barcode", "catalogue_id", F.col("release_title").alias("new"))
+    a = table(spark, d, "catalogue_releases").where("barcode <> '' and barcode <> '0000000000000'").select("barcode", "catalogue_id", F.col("release_title").alias("new"))
     b = table(spark, d, "releases").select("barcode", "release_id", F.col("release_title").alias("old"))
     return a.join(b, "barcode").select("release_id", "catalogue_id", textdiff.text_diff("old", "new").alias("edit"))
 

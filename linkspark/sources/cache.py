@@ -1,4 +1,4 @@
-"""Cached entities in envelopes {created, item}: keys, reading with an age limit, writing, statistics."""
+"""Cached entities in envelopes {created, item}: keys, reading with an age limit, writing by key, deletion, statistics."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkspark.functions import temporal
 from linkspark.functions import text as X
+from linkspark.runtime import forget, written
 
 #: Kinds of cached entities and how the key of each is made.
 KEYS = {
@@ -21,16 +22,36 @@ def cache_path(kind: str, key: Column) -> Column:
 
 
 def write(df: DataFrame, path: str, kind: str, key: str, item: Column, now: Column) -> None:
-    """One JSON envelope per row, below kind=...; a later write of the kind replaces it."""
+    """One JSON envelope per row, below kind=...; it takes the place of an older one of its key, and of no other."""
     rows = df.select(F.col(key).alias("key"), F.struct(now.alias("created"), item.alias("item")).alias("e"))
-    rows.select("key", "e.created", "e.item").write.mode("overwrite").json(f"{path}/kind={kind}")
+    rows.select("key", "e.created", "e.item").write.mode("append").json(f"{path}/kind={kind}")
+
+
+def _envelopes(spark: SparkSession, path: str, item_schema: str) -> DataFrame:
+    raw = spark.read.schema(f"key string, created timestamp, item {item_schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("basePath", path).json(path)
+    return raw.select("*", F.col("_metadata.file_modification_time").alias("modified"))
 
 
 def read(spark: SparkSession, path: str, item_schema: str, now: Column, max_weeks: int = 2, max_days: int = 7) -> DataFrame:
-    """kind, key, created, item of the envelopes within both age limits; older ones are misses. Unreadable lines are dropped."""
-    raw = spark.read.schema(f"key string, created timestamp, item {item_schema}").option("mode", "DROPMALFORMED").option("basePath", path).json(path)
-    raw = raw.select("*", F.col("_metadata.file_modification_time").alias("modified"))
-    return raw.where(temporal.is_fresh(F.col("created"), F.col("modified"), now, max_weeks, max_days)).select("kind", "key", "created", "item")
+    """kind, key, created, item of the newest envelope of each key, within both age limits; older ones are misses.
+
+    Lines that are no envelope are misses, too; ``unreadable`` shows them.
+    """
+    raw = _envelopes(spark, path, item_schema).where("_corrupt_record is null and key is not null")
+    newest = raw.groupBy("kind", "key").agg(F.max_by(F.struct("created", "item", "modified"), F.struct("created", "modified")).alias("e")).select("kind", "key", "e.*")
+    return newest.where(temporal.is_fresh(F.col("created"), F.col("modified"), now, max_weeks, max_days)).select("kind", "key", "created", "item")
+
+
+def unreadable(spark: SparkSession, path: str, item_schema: str) -> DataFrame:
+    """kind, line of what is no envelope."""
+    return _envelopes(spark, path, item_schema).where("_corrupt_record is not null or key is null").select("kind", F.col("_corrupt_record").alias("line"))
+
+
+def compact(spark: SparkSession, path: str, kind: str, item_schema: str, now: Column, max_weeks: int = 2, max_days: int = 7) -> None:
+    """Delete expired, replaced and unreadable envelopes of a kind; the others keep their age."""
+    kept = written(read(spark, path, item_schema, now, max_weeks, max_days).where(F.col("kind") == kind).select("key", "created", "item"), "cache")
+    kept.write.mode("overwrite").json(f"{path}/kind={kind}")
+    forget(kept)
 
 
 def stats(files: DataFrame, kind: str, size: str) -> DataFrame:

@@ -20,10 +20,14 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 
 
 def best_matches(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, score: Callable[[DataFrame], DataFrame], key: str, distance: str, tie: str, k: int = 5) -> DataFrame:
-    """Top k of every streamed row, written batch by batch below ``target``; a batch that is repeated overwrites itself."""
+    """Top k of each key over all streamed rows, however they fell into batches.
+
+    Each batch leaves its own top k below ``target`` (a batch that is repeated overwrites itself); the top k of those is
+    that of all rows, since no row behind k others of its batch can be before k others of all.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        top_k(score(batch), key, distance, tie, k).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        top_k(score(batch), key, distance, tie, k).drop("rank").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     run_available(stream_of(spark, source, schema), sink, checkpoint)
-    return spark.read.parquet(target).drop("batch")
+    return top_k(spark.read.parquet(target).drop("batch"), key, distance, tie, k)

@@ -152,13 +152,24 @@ def test_fingerprint_is_stable_against_volume():
 def test_config(tmp_path):
     assert load() == Config()
     p, q = tmp_path / "a.toml", tmp_path / "b.toml"
-    p.write_text("num_parallel_jobs = 3\n[weights.track]\ntrack_title = 1\n")
-    q.write_text("num_parallel_jobs = 4\n")
+    p.write_text("[analyzers]\nnum_parallel_jobs = 3\nenabled = [\"ebu_r128\"]\n[weights.track]\ntrack_title = 1\n")
+    q.write_text("[analyzers]\nnum_parallel_jobs = 4\n")
     c = load(p, q)
-    assert c.num_parallel_jobs == 4 and c.weights.track.track_title == 1.0 and c.weights.track.track_artist == 3.0
+    assert c.analyzers.num_parallel_jobs == 4 and c.analyzers.enabled == ["ebu_r128"] and c.weights.track.track_title == 1.0 and c.weights.track.track_artist == 3.0
     q.write_text("nope = 1\n")
     with pytest.raises(KeyError):
         load(q)
     q.write_text("[weights.track]\ntrack_title = -1.0\n")
     with pytest.raises(ValueError):
         load(q)
+
+
+def test_default_path_formats_compile(spark):
+    from linkspark.config import Config
+    from linkspark.functions.template import formatted_path
+
+    values = {"album_artist": "A", "album_title": "B/C", "year": "1958", "track_title": "T", "disc_number": 1, "disc_index": 2, "disc_count_width": 2, "track_index": 3, "track_count_width": 2, "artist_credit": "X"}
+    columns = {k: F.lit(v) for k, v in values.items()}
+    paths = Config().paths
+    got = spark.range(1).select(formatted_path(paths.album_format, columns, F.lit("mp3")).alias("a"), formatted_path(paths.compilation_format, columns, F.lit("mp3")).alias("c"), formatted_path(paths.compilation_format, columns | {"disc_index": F.lit(None).cast("int")}, F.lit("mp3")).alias("n")).first()
+    assert tuple(got) == ("A/1958 - B_C/1-03 - T.mp3", "A/1958 - B_C/02-03 - X - T.mp3", "A/1958 - B_C/03 - X - T.mp3")
