@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from linkspark.operators import nested
-from linkspark.plans import adapter_queries, group_queries, link_queries, source_queries, text_queries  # noqa: F401 - they register
+from linkspark.plans import adapter_queries, enrich_queries, group_queries, link_queries, source_queries, text_queries  # noqa: F401 - they register
 from linkspark.plans.registry import QUERIES, SQL, query
 from linkspark.runtime import table
 
