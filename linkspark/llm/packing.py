@@ -109,7 +109,10 @@ class Places:
     """
 
     def __init__(self, pivots: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, idf: np.ndarray, mean_length: float):
-        self.idf, self.shared = idf, df >= 2
+        with np.errstate(divide="ignore"):
+            every = np.arange(SLOTS)
+            # a word of one document alone brings it together with none
+            self.draws = [np.where(df >= 2, -np.log(_mixed(every, salt)) / idf, np.inf).astype(np.float32) for salt in (1, 2)]
         words = np.unique(np.concatenate([s for s, _ in pivots])) if pivots else np.zeros(0, dtype=np.int64)
         self.row = np.full(SLOTS, len(words), dtype=np.int32)
         self.row[words] = np.arange(len(words))
@@ -119,12 +122,11 @@ class Places:
             self.weight[self.row[slots], k] = w / max(float(np.sum(w * w)) ** 0.25, 1e-9)
 
     def of(self, slots: np.ndarray) -> tuple[int, int, int]:
-        slots = slots[self.shared[slots]]
         if not len(slots):
             return -1, -1, -1
-        pivot = int(self.weight[self.row[slots]].sum(axis=0).argmax())
-        drawn = [int(slots[np.argmin(-np.log(_mixed(slots, salt)) / self.idf[slots])]) for salt in (1, 2)]
-        return pivot, *drawn
+        known = self.row[slots]
+        pivot = int(self.weight[known[known < len(self.weight) - 1]].sum(axis=0).argmax())
+        return pivot, *(int(slots[np.argmin(draw[slots])]) for draw in self.draws)
 
 
 def _placed(places):
