@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkspark.functions import distance as M
 from linkspark.functions import temporal as T
 from linkspark.functions import text as X
-from linkspark.operators import assign, blocking, consensus, rank
+from linkspark.operators import assign, blocking, consensus, profiles, rank
 from linkspark.plans.registry import query
 from linkspark.plans.text_queries import sql_ascii, sql_distance, sql_normalize
 from linkspark.runtime import spread, table
@@ -25,6 +25,24 @@ def parts_scored(spark: SparkSession, d: str) -> DataFrame:
     return j.where("left_key <> right_key").select("left_key", "right_key", F.round(score, 6).alias("distance"))
 
 
+def _part_distance(left: profiles.Side, right: profiles.Side) -> Column:
+    size = M.length_distance(left("p_size") * 1000, right("p_size") * 1000)
+    return F.round(M.weighted_mean([(X.normalized_distance(left("n"), right("n")), 3.0), (size, 1.0)]), 6)
+
+
+def _name_distance(left: profiles.Side, right: profiles.Side) -> Column:
+    """Distance of parts of these names whose sizes are as good as equal."""
+    return F.round(M.weighted_mean([(X.normalized_distance(left("n"), right("n")), 3.0), (F.lit(0.0), 1.0)]), 6)
+
+
+#: Parts of one brand and type by their names and clamped sizes.
+PARTS = profiles.Comparison(["p_brand", "p_type"], ["n"], ["p_size"], "p_partkey", _part_distance, _name_distance)
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.prepared(table(spark, d, "part").withColumn("n", X.normalize(F.col("p_name"))), PARTS)
+
+
 PARTS_SQL = """
 p AS (SELECT p_partkey, p_brand, p_type, p_name AS n, p_size FROM part),
 s AS (SELECT a.p_partkey AS left_key, b.p_partkey AS right_key, round((3.0::DOUBLE * CASE WHEN greatest(length(a.n), length(b.n)) = 0 THEN 0::DOUBLE ELSE levenshtein(a.n, b.n)::DOUBLE / greatest(length(a.n), length(b.n)) END
@@ -34,7 +52,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY left_key ORDER BY distance, righ
 
 @query(sql=f"WITH {PARTS_SQL} SELECT left_key, right_key, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def q_topk_parts(spark: SparkSession, d: str) -> DataFrame:
-    return rank.top_k(parts_scored(spark, d), "left_key", "distance", "right_key", 5)
+    return profiles.top_k(_parts(spark, d), PARTS, 5)
 
 
 @query(sql=f"WITH {PARTS_SQL} SELECT left_key, right_key, round((1 - distance) * 100, 2) AS percent, CASE WHEN distance <= 0.1 THEN 'green' WHEN distance <= 0.5 THEN 'yellow' ELSE 'red' END AS colour FROM r WHERE rank <= 5")
