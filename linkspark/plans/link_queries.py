@@ -57,7 +57,7 @@ def q_topk_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql=f"WITH {PARTS_SQL} SELECT left_key, right_key, round((1 - distance) * 100, 2) AS percent, CASE WHEN distance <= 0.1 THEN 'green' WHEN distance <= 0.5 THEN 'yellow' ELSE 'red' END AS colour FROM r WHERE rank <= 5")
 def q_similarity_pct(spark: SparkSession, d: str) -> DataFrame:
-    top = rank.top_k(parts_scored(spark, d), "left_key", "distance", "right_key", 5)
+    top = profiles.top_k(_parts(spark, d), PARTS, 5)
     return top.select("left_key", "right_key", X.similarity_percent(F.col("distance")).alias("percent"), X.similarity_colour(F.col("distance")).alias("colour"))
 
 

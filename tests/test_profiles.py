@@ -88,3 +88,12 @@ def test_topk_parts_of_a_large_block(spark, many):
         assert df.count() == 300_000
     finally:
         df.unpersist()
+
+
+def test_similarity_pct_of_varied_profiles(spark, varied):
+    agrees(spark, varied, "q_similarity_pct")
+
+
+def test_similarity_pct_of_a_large_block(spark, many):
+    one = within(spark, 100, lambda: catalogue.QUERIES["q_similarity_pct"](spark, many).agg(F.count("*"), F.min("percent"), F.max("colour"), F.max("right_key")).first())
+    assert tuple(one) == (300_000, 100.0, "green", 17)
