@@ -349,7 +349,7 @@ def q_enrich(spark: SparkSession, d: str) -> DataFrame:
 @query(sql=f"""
 WITH {PARTS_SQL} SELECT left_key, right_key, list_filter([CASE WHEN right_key % 7 > 0 THEN (right_key % 7) || ' missing tracks' END, CASE WHEN left_key % 3 > 0 THEN (left_key % 3) || ' residual tracks' END, CASE WHEN left_key % 2 <> right_key % 2 THEN 'wrong id' END], lambda x: x IS NOT NULL) AS problems FROM r WHERE rank = 1""")
 def q_problems(spark: SparkSession, d: str) -> DataFrame:
-    top = rank.top_k(parts_scored(spark, d), "left_key", "distance", "right_key", 1)
+    top = profiles.top_k(_parts(spark, d), PARTS, 1)
     l, r = F.col("left_key"), F.col("right_key")
     return top.select("left_key", "right_key", M.problems(r % 7, l % 3, (l % 2).cast("string"), (r % 2).cast("string")).alias("problems"))
 

@@ -97,3 +97,12 @@ def test_similarity_pct_of_varied_profiles(spark, varied):
 def test_similarity_pct_of_a_large_block(spark, many):
     one = within(spark, 100, lambda: catalogue.QUERIES["q_similarity_pct"](spark, many).agg(F.count("*"), F.min("percent"), F.max("colour"), F.max("right_key")).first())
     assert tuple(one) == (300_000, 100.0, "green", 17)
+
+
+def test_problems_of_varied_profiles(spark, varied):
+    agrees(spark, varied, "q_problems")
+
+
+def test_problems_of_a_large_block(spark, many):
+    one = within(spark, 100, lambda: catalogue.QUERIES["q_problems"](spark, many).agg(F.count("*"), F.max("right_key"), F.max(F.size("problems"))).first())
+    assert tuple(one) == (60_000, 5, 3)
