@@ -65,7 +65,7 @@ def q_similarity_pct(spark: SparkSession, d: str) -> DataFrame:
 WITH {PARTS_SQL}, n AS (SELECT * FROM s WHERE distance < 0.1)
 SELECT left_key, right_key, distance, CASE WHEN count(*) OVER (PARTITION BY left_key) = 1 AND distance <= 0.05 THEN 'auto_select' ELSE 'needs_review' END AS decision FROM n""")
 def q_auto_select(spark: SparkSession, d: str) -> DataFrame:
-    return rank.auto_selected(parts_scored(spark, d).where("distance < 0.1"), "left_key", "distance")
+    return profiles.auto_selected(_parts(spark, d), PARTS, 0.1)
 
 
 @query(sql=f"""

@@ -106,3 +106,29 @@ def test_problems_of_varied_profiles(spark, varied):
 def test_problems_of_a_large_block(spark, many):
     one = within(spark, 100, lambda: catalogue.QUERIES["q_problems"](spark, many).agg(F.count("*"), F.max("right_key"), F.max(F.size("problems"))).first())
     assert tuple(one) == (60_000, 5, 3)
+
+
+def test_pairs_are_all_pairs(spark, odd, monkeypatch):
+    monkeypatch.setattr(profiles, "CHUNK", 3)
+    rows, all_pairs = link_queries._parts(spark, odd), link_queries.parts_scored(spark, odd)
+    assert rows_of(profiles.pairs(rows, link_queries.PARTS)) == rows_of(all_pairs)
+    assert rows_of(profiles.pairs(rows, link_queries.PARTS, 0.1)) == rows_of(all_pairs.where("distance < 0.1"))
+
+
+def test_auto_selected_of_odd_rows(spark, odd):
+    all_pairs = rank.auto_selected(link_queries.parts_scored(spark, odd).where("distance < 0.1"), "left_key", "distance")
+    assert rows_of(profiles.auto_selected(link_queries._parts(spark, odd), link_queries.PARTS, 0.1)) == rows_of(all_pairs)
+
+
+def test_auto_select_of_varied_profiles(spark, varied):
+    agrees(spark, varied, "q_auto_select")
+    assert {r.decision for r in catalogue.QUERIES["q_auto_select"](spark, varied).collect()} == {"auto_select", "needs_review"}
+
+
+def test_auto_select_of_a_large_block(spark, tmp_path):
+    """60 000 parts of 200 names by 50 sizes; parts of one name up to 21 sizes apart are near."""
+    name, size = F.substring(F.sha2((F.col("id") % 200).cast("string"), 256), 1, 12), (F.floor(F.col("id") / 200) % 50 + 1).cast("int")
+    df = spark.range(60_000).select(F.col("id").alias("p_partkey"), name.alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), size.alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    folder = folder_of(spark, tmp_path, df)
+    one = within(spark, 100, lambda: catalogue.QUERIES["q_auto_select"](spark, folder).agg(F.count("*"), F.max("distance"), F.max("decision"), F.countDistinct("left_key")).first())
+    assert tuple(one) == (200 * 36 * 1688 - 60_000, 0.091667, "needs_review", 60_000)
