@@ -132,3 +132,19 @@ def test_auto_select_of_a_large_block(spark, tmp_path):
     folder = folder_of(spark, tmp_path, df)
     one = within(spark, 100, lambda: catalogue.QUERIES["q_auto_select"](spark, folder).agg(F.count("*"), F.max("distance"), F.max("decision"), F.countDistinct("left_key")).first())
     assert tuple(one) == (200 * 36 * 1688 - 60_000, 0.091667, "needs_review", 60_000)
+
+
+def test_extended_of_odd_rows(spark, odd):
+    s = link_queries.parts_scored(spark, odd)
+    all_pairs = rank.extended(rank.top_k(s, "left_key", "distance", "right_key", 3), s.withColumn("distance", F.col("distance") + 0.1), "left_key", "right_key", "distance")
+    assert rows_of(profiles.extended(link_queries._parts(spark, odd), link_queries.PARTS, 3, 0.1)) == rows_of(all_pairs)
+
+
+def test_dedupe_union_of_varied_profiles(spark, varied):
+    agrees(spark, varied, "q_dedupe_union")
+
+
+def test_dedupe_union_shuffles_no_pairs(spark, varied):
+    plan = catalogue.QUERIES["q_dedupe_union"](spark, varied)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode(_keys")]
+    assert "Exchange" not in above and "Aggregate" not in above
