@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm import mail
-from linkspark.runtime import spread, written
+from linkspark.runtime import forget, spread, written
 
 #: Vocabulary file (ranks of a byte-level BPE) and its word pattern; both are parameters of ``pack``.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -151,10 +151,17 @@ class ShardIndex:
         order = np.argsort(slot, kind="stable")
         self.words, self.first = np.unique(slot[order], return_index=True)
         self.last = np.append(self.first[1:], len(slot))
-        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
+        self.owner, self.weight = owner[order].astype(np.intp), weight[order]  # as bincount takes it, without a copy
         self.queries = [np.searchsorted(self.words, s) for s in slots]
+        self.scored: dict[int, np.ndarray] = {}
 
     def scores(self, item: int, n: int) -> np.ndarray:
+        """Ratings of all ``n`` items by the words of one; kept, since a seed of one capacity mostly is one of others."""
+        if item not in self.scored:
+            self.scored[item] = self._rated(item, n)
+        return self.scored[item]
+
+    def _rated(self, item: int, n: int) -> np.ndarray:
         q = self.queries[item]
         if not len(q):
             return np.zeros(n)
@@ -289,7 +296,9 @@ def pack(documents: DataFrame, specs: DataFrame, doc_id: str = "doc_id", text: s
     pivots = [(np.array(r.slots, dtype=np.int64), np.array(r.counts, dtype=np.int64)) for r in picked if r.slots]
     places = spark.sparkContext.broadcast(Places(pivots, df, idf, float(n[slot == -2].sum()) / max(total, 1)))
     shards = max(1, -(-total // SHARD_DOCS))
-    placed = items.mapInPandas(_placed(places), "doc_id long, n_tokens long, slots array<int>, counts array<int>, pivot int, first int, second int")
+    # written, because the ranges of the shuffle are found by reading it once more
+    placed = written(items.mapInPandas(_placed(places), "doc_id long, n_tokens long, slots array<int>, counts array<int>, pivot int, first int, second int"), "placed")
+    forget(items)
     order = ["pivot", "first", "second", "doc_id"]
     sharded = placed.repartitionByRange(min(shards, max(SHARD_TASKS, shards // 16)), *order).sortWithinPartitions(*order)
     return sharded.mapInPandas(_packed(wanted, shared), "spec_id long, container_id long, doc_id long, piece int, token_start long, n_tokens long")

@@ -110,3 +110,11 @@ def test_documents_of_one_subject_share_a_shard(spark, monkeypatch):
     assert len(set(shard.values())) > 1
     together = [max(np.bincount([shard[i] for i in range(s, 4800, 24)])) / 200 for s in range(24)]
     assert np.mean(together) > 0.6  # subjects that a boundary cuts have two shards; by chance it would be 0.3
+
+
+def test_scores_and_places_are_computed_once(spark):
+    slots = [np.array([1, 2], dtype=np.int32), np.array([2], dtype=np.int32)]
+    index = packing.ShardIndex(slots, [np.ones(len(s), dtype=np.int32) for s in slots], np.ones(packing.SLOTS, dtype=np.float32), 2.0)
+    assert index.scores(0, 2) is index.scores(0, 2)
+    plan = packing.pack(*frames(spark, [(1, "a b c"), (2, "a b")]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # places are read, where the shuffle would compute them twice
