@@ -162,3 +162,12 @@ def test_no_join_of_parts_is_broadcast(spark, varied, monkeypatch, name):
     monkeypatch.setattr(profiles, "written", seen)
     plans.append(catalogue.QUERIES[name](spark, varied)._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_dedupe_union_takes_little_disk(spark, tmp_path):
+    """4000 parts of 50 profiles in one block: pairs of two profiles stand together, so that files repeat themselves."""
+    size = (F.col("id") % 50 + 1).cast("int")
+    df = spark.range(4000).select(F.col("id").alias("p_partkey"), F.sha2(size.cast("string"), 256).alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), size.alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    catalogue.QUERIES["q_dedupe_union"](spark, folder_of(spark, tmp_path, df)).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4000 * 3999
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 4000 * 3999
